@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import packing, tokens
+from trovel.llm import packing, quality, tokens, url_filter
 from trovel.llm.common import table
 
 
@@ -22,5 +22,60 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+#: The contract's host rules.
+HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+#: Rules of our own for urls that no host rule fits.
+URL_RULES = [
+    ("block", "||free-bets."), ("block", "||casino."), ("block", "/casino/"), ("block", "/poker/"), ("block", "||xxx."), ("block", "/xxx/"), ("block", "/porn/"), ("block", "-loans^"),
+    ("block", "/viagra/"), ("block", "||torrent."), ("block", "/warez/"), ("block", "/keygen^"), ("block", "/wp-login.php"), ("block", "&sessionid="), ("allow", "||docs."), ("allow", "/wiki/"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.host_rule(*r) for r in HOST_RULES] + [url_filter.url_rule(*r) for r in URL_RULES]
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a),
+c AS (SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
+d AS (SELECT *, CASE
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+  WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM c)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(url, '^[^/?#]*://([^/?#]*\.)?(free-bets|casino|xxx|torrent)\.') OR regexp_matches(url, '/(casino|poker|xxx|porn|viagra|warez)/|/wp-login\.php|&sessionid=')
+    OR regexp_matches(url, '(-loans|/keygen)([^\w\-.%]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM d"""
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+win AS (SELECT doc_id, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+dup AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM win JOIN dup USING (doc_id, g)) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  len(list_filter(w, lambda x: list_contains(STOPS, lower(rtrim(x, '.,;:!?')))))::BIGINT AS n_stop,
+  len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars >= 2.5 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words AND 50 * n_stop >= n_words AND 2 * n_dup_lines <= n_lines AS kept FROM f
+""".replace("STOPS", str(quality.STOP_WORDS))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filters, op7_quality_rules, op10_token_counts)}
+ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
