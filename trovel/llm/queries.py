@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import packing, quality, tokens, url_filter
+from trovel.llm import packing, quality, simhash, tokens, url_filter
 from trovel.llm.common import table
 
 
@@ -54,6 +54,11 @@ SELECT page_id, host, path, rule, CASE
 FROM d"""
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4, bands=simhash.exact_bands(64, 4))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_alike")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -61,8 +66,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ 	-]+'), lambda x: x <> '') AS w,
-  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM t),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM t),
 win AS (SELECT doc_id, i, list_extract(w, i) || ' ' || list_extract(w, i + 1) || ' ' || list_extract(w, i + 2) AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 dup AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
@@ -77,5 +84,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """.replace("STOPS", str(quality.STOP_WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filters, op7_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
