@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import packing, quality, simhash, tokens, url_filter
+from trovel.llm import lz_print, packing, quality, simhash, tokens, url_filter
 from trovel.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_print.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 #: The contract's host rules.
 HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Rules of our own for urls that no host rule fits.
@@ -84,5 +88,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """.replace("STOPS", str(quality.STOP_WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
