@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import lz_print, packing, quality, simhash, tokens, url_filter
+from trovel.llm import lz_print, packing, quality, simhash, tokens, toxicity, url_filter
 from trovel.llm.common import table
 
 
@@ -88,5 +88,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """.replace("STOPS", str(quality.STOP_WORDS))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op10_token_counts)}
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def toxic_index(spark: SparkSession, sf_dir: str) -> toxicity.Index:
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxic_index(spark, sf_dir))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op10_token_counts)}
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
