@@ -18,7 +18,7 @@ from trovel.llm.common import batches, cut, pick
 EXAMPLES, TERMS = 4_096, 4_096
 #: Examples of a class that must hold a term, and the least log-likelihood ratio of its counts by class, for the vocabulary.
 LEAST_EXAMPLES, LEAST_RATIO = 8, 30.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 15, 256
 #: Lengths of the word starts that are terms beside whole words.
 STARTS = (4, 5, 6)
 
@@ -40,8 +40,8 @@ def terms(text: str, keys: set[str] | None = None) -> Counter:
 
 @dataclass
 class Index:
-    """The labelled examples. idf: term to (number, weight). Postings of a term lie in example order, from first[t] to
-    first[t + 1]; top[t, b] is its largest weight in block b of examples. weights are those of the classes, which undo the
+    """The labelled examples, alike ones side by side. idf: term to (number, weight). Postings lie by term and example; those
+    of term t in block b of examples from first[t, b] to first[t, b + 1]; top[t, b] is the largest weight among them. weights are those of the classes, which undo the
     equal numbers that were drawn; scores maps a raw vote to the share of toxic examples near that vote."""
 
     idf: dict[str, tuple[int, float]]
@@ -76,10 +76,13 @@ class Index:
             low, scores = block * BLOCK, np.zeros(BLOCK)
             for t, w in query:
                 if self.top[t, block] > 0:
-                    a, b = self.first[t], self.first[t + 1]
-                    a, b = a + np.searchsorted(self.example[a:b], [low, low + BLOCK])
+                    a, b = self.first[t, block], self.first[t, block + 1]
                     scores[self.example[a:b] - low] += w * self.weight[a:b]
-            found = [(-float(scores[j]), low + j) for j in np.flatnonzero(scores > 0).tolist() if low + j != without]
+            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+            over = np.flatnonzero(scores > least)
+            if len(over) > k + 1:  # ties at the k-th place stay
+                over = over[scores[over] >= np.partition(scores[over], -k - 1)[-k - 1]]
+            found = [(-float(scores[j]), low + j) for j in over.tolist() if low + j != without]
             best = sorted(best + found)[:k]
         return [(-s, j) for s, j in best]
 
@@ -114,17 +117,20 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 def build(examples: list[tuple[int, int, list[str], list[int]]], idf: dict[str, tuple[int, float]], totals: tuple[int, int]) -> Index:
     """The index of (id, label, terms, counts), every one of the vocabulary idf; totals: labelled rows of either class."""
-    ids, toxic = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64)
-    drawn = [int((toxic == c).sum()) for c in (0, 1)]
-    weights = tuple(totals[c] / drawn[c] if drawn[c] else 0.0 for c in (0, 1))
     blocks = max(1, -(-len(examples) // BLOCK))
-    index = Index(idf, np.zeros(len(idf) + 1, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros((len(idf), blocks)), toxic, ids, weights, np.empty(0), np.empty(0))
-    vectors = [index.vector(Counter(dict(zip(e[2], e[3], strict=True)))) for e in examples]
+    none = np.empty(0, np.int64)
+    index = Index(idf, np.zeros((len(idf), blocks + 1), np.int64), none, np.empty(0), np.zeros((len(idf), blocks)), none, none, (0.0, 0.0), np.empty(0), np.empty(0))
+    found = [(e[0], e[1], index.vector(Counter(dict(zip(e[2], e[3], strict=True))))) for e in examples]
+    found.sort(key=lambda e: (not e[2], [t for t, w in sorted(e[2], key=lambda x: (-x[1], x[0]))], e[0]))
+    index.ids, index.toxic, vectors = np.array([e[0] for e in found], np.int64), np.array([e[1] for e in found], np.int64), [e[2] for e in found]
+    toxic, drawn = index.toxic, [sum(e[1] == c for e in found) for c in (0, 1)]
+    weights = index.class_weight = tuple(totals[c] / drawn[c] if drawn[c] else 0.0 for c in (0, 1))
     rows = sorted((t, j, w) for j, v in enumerate(vectors) for t, w in v)
-    index.first = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(len(idf) + 1))
     index.example, index.weight = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
     if rows:
-        np.maximum.at(index.top, (np.array([r[0] for r in rows]), index.example // BLOCK), index.weight)
+        term, block = np.array([r[0] for r in rows]), index.example // BLOCK
+        np.maximum.at(index.top, (term, block), index.weight)
+        index.first = np.searchsorted(term * (blocks + 1) + block, np.arange(len(idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :])
     raw = np.array([index.vote(index.nearest(v, NEIGHBOURS, without=j)) for j, v in enumerate(vectors)])
     if len(raw):
         index.votes, index.shares = monotone(raw, toxic.astype(float), np.array([weights[c] for c in toxic]))
