@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import lz_print, packing, quality, simhash, tokens, toxicity, url_filter
+from trovel.llm import lz_print, mixing, packing, quality, simhash, tokens, toxicity, url_filter
 from trovel.llm.common import table
 
 
@@ -101,5 +101,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op10_token_counts)}
+#: Weights of domains, languages and sources in a mix; others weigh 1.
+MIX_WEIGHTS = {("forum",): 1.0, ("news",): 2.0, ("web",): 3.0, ("web", "en"): 2.0, ("news", "fr"): 1.5, ("forum", "en", "src0"): 0.5}
+#: Which sources are forums and news; all others are web.
+FORUMS, NEWS = [f"src{k}" for k in (0, 3, 6, 9)], [f"src{k}" for k in (1, 4, 7)]
+
+
+def source_tree() -> list[F.Column]:
+    return [F.when(F.col("source").isin(FORUMS), "forum").when(F.col("source").isin(NEWS), "news").otherwise("web"), F.col("lang"), F.col("source")]
+
+
+def words_in(text: str = "text") -> F.Column:
+    return F.size(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")), " +"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, levels=source_tree(), tokens=words_in(), key=F.col("doc_id"), total=0.8, weights=MIX_WEIGHTS, epochs=2)
+    return mixed.select("doc_id", "mix_epoch", "mix_tokens", F.col("mix_leaf")[0].alias("domain"), "lang", "source")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op9_source_mix, op10_token_counts)}
 ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}

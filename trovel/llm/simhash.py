@@ -36,7 +36,7 @@ def fingerprint(hashes: np.ndarray, bits: int) -> bytes:
     for k in range(bits // 64):
         h = hashes
         if k:
-            h = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+            h = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
             h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             h = h ^ (h >> np.uint64(31))

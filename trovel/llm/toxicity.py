@@ -182,21 +182,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_examples: int = EXAMPLES, mo
     return build(examples, idf, (by_class.get(0, 0), by_class.get(1, 0)))
 
 
-def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text", extra: list[str] = ()) -> DataFrame:
-    """doc_id, score, evidence (nearest examples: id, cosine, label) of every whole text, and the columns named as extra.
+def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text", into: tuple[str, str] = ("score", "evidence"), extra: list[str] = ()) -> DataFrame:
+    """doc_id, score, evidence (nearest examples: id, cosine, label) of every whole text, and the columns named as extra; the
+    two middle ones are called as into says, where extra columns have those names.
 
     Null and empty texts, and texts without a term of the vocabulary, have no neighbours and the score of such examples;
     each row is scored alone; no rows yield none. The index, of bounded size, is broadcast.
     """
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in extra if c not in (id_col, text_col)])
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([id_col, text_col, *extra])])
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    names = ["c0", "score", "evidence", *own.columns[2:]]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches(source, 500):
             found = [index.score(t or "") for t in batch.column(1).to_pylist()]
             near = [[{"doc_id": i, "cosine": s, "toxic": y} for i, s, y in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))), *batch.columns[2:]], names=["doc_id", "score", "evidence", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))), *batch.columns[2:]], names=names)
 
-    rest = "".join(f", `{c}` {k}" for c, k in own.dtypes[2:])
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>{rest}")
+    rest = "".join(f", {c} {k}" for c, k in own.dtypes[2:])
+    found = own.mapInArrow(run, f"c0 {own.dtypes[0][1]}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>{rest}")
+    return found.toDF("doc_id", *into, *extra)
