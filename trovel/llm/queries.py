@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import lz_print, mixing, packing, quality, simhash, tokens, toxicity, url_filter
+from trovel.llm import lz_print, mixing, packing, quality, simhash, tokens, toxicity, url_filter, warc
 from trovel.llm.common import table
 
 
@@ -22,6 +22,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
 def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_print.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -121,5 +133,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_epoch", "mix_tokens", F.col("mix_leaf")[0].alias("domain"), "lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op9_source_mix, op10_token_counts)}
-ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op9_source_mix, op10_token_counts)}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
