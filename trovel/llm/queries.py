@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovel.llm import lz_print, mixing, packing, quality, simhash, tokens, toxicity, url_filter, warc
+from trovel.llm import langid, lz_print, mixing, packing, quality, simhash, tokens, toxicity, url_filter, warc
 from trovel.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_print.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.fit_text(table(spark, sf_dir, "documents")))
+
+
 #: The contract's host rules.
 HOST_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 #: Rules of our own for urls that no host rule fits.
@@ -133,5 +137,5 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_epoch", "mix_tokens", F.col("mix_leaf")[0].alias("domain"), "lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_lz_fingerprints, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op9_source_mix, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_lz_fingerprints, op4_language_id, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op9_source_mix, op10_token_counts)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op5_url_filters": OP5_SQL, "op7_quality_rules": OP7_SQL}
