@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"[\s\p{Z}]+"
 
@@ -23,7 +24,7 @@ def usable(c: Column) -> Column:
     return c.isNotNull() & (F.length(trim_ws(c.cast("string"))) > 0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(s: pd.Series) -> pd.Series:
     """Named and numbered character references; one level."""
     import html
@@ -31,7 +32,7 @@ def unescape_html(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decompose(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks."""
     import unicodedata

@@ -33,10 +33,11 @@ def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = {"area": "TEM_AREA", "tema": "TEM_TEMA", "subtema": "TEM_SUBTEMA", "autor": "TEM_AUTOR_TESE", "tipo_processo": "TEM_TIPO_PROCESSO"}
     entity = lambda kind, c, tipo, ok: F.when(ok, F.struct(ids[c].alias("id"), F.lit(kind).alias("kind"), names[c].alias("nome"), F.lit(tipo).alias("tipo")))
     single = F.array(*[entity(c, c, t, has[c]) for c, t in kinds.items()])
-    listed = [
-        F.transform(F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), usable), lambda x, k=k, t=t: F.struct(node_id(k, identifier(x)).alias("id"), F.lit(k).alias("kind"), x.alias("nome"), F.lit(t).alias("tipo")))
-        for c, k, t in (("conceitos", "conceito", "INDEXADO_POR"), ("referencias", "referencia_legal", "CITA"))
-    ]
+    def many(c: str, kind: str, tipo: str) -> F.Column:
+        known = F.filter(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: usable(x))
+        return F.transform(known, lambda x: F.struct(node_id(kind, identifier(x)).alias("id"), F.lit(kind).alias("kind"), x.alias("nome"), F.lit(tipo).alias("tipo")))
+
+    listed = [many("conceitos", "conceito", "INDEXADO_POR"), many("referencias", "referencia_legal", "CITA")]
     doc = node_id("documento", F.col("doc_id").cast("string"))
     links = docs.where("doc_id IS NOT NULL").select(doc.alias("origem"), F.explode(F.concat(F.filter(single, lambda x: x.isNotNull()), *listed)).alias("e"))
     edges = links.select("origem", F.col("e.id").alias("destino"), F.col("e.tipo").alias("tipo"))
