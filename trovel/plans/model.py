@@ -45,8 +45,8 @@ class Model:
         grade = F.least(F.lit(3), F.coalesce(F.try_element_at("by_label", F.col("q_label")), F.lit(0))).cast("int")
         return pairs.select("query_id", "doc_id", grade.alias("grade")).where("grade > 0 OR (doc_id + query_id) % 7 = 0")
 
-    def scored(self) -> DataFrame:
-        return retrieval.score_chunks(self.queries().select("query_id", "q"), self.vectors())
+    def scored(self, best: int | None = None) -> DataFrame:
+        return retrieval.score_chunks(self.queries().select("query_id", "q"), self.vectors(), best)
 
     def documents(self) -> DataFrame:
         """doc_id with area, tema, subtema, autor, tipo_processo, conceitos, referencias."""
@@ -62,13 +62,15 @@ class Model:
         )
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        return graph.build(self.documents())
+        """Nodes, and edges kept on disk: each plan over them reads the texts once."""
+        nodes, edges = graph.build(self.documents())
+        return nodes, self.once("edges", lambda: edges)
 
     def semantic(self) -> DataFrame:
         return self.once("semantic", lambda: retrieval.semantic_ranking(self.scored()))
 
     def rag(self) -> DataFrame:
-        return self.once("rag", lambda: retrieval.vector_topk(self.scored()))
+        return self.once("rag", lambda: retrieval.vector_topk(self.scored(best=200)))
 
     def expanded(self, **how) -> DataFrame:
         return retrieval.expand(self.semantic().where("rank <= 10"), self.graph()[1], self.table("documents").count(), **how)
