@@ -10,9 +10,10 @@ from trovel.llm import mixing, packing, quality, simhash, tokens, toxicity
 from trovel.llm.common import cut, shared_dir
 from trovel.llm.queries import MIX_WEIGHTS, source_tree, toxic_index, words_in
 
-#: Five-word shingles, 256 bits. At a Jaccard likeness of 0.8 about 15 % of the bits differ, with a spread of 6 bits: the
-#: radius is their mean; 40 drawn bands of 16 bits find 95 % of such pairs, over 99 % from a likeness of 0.85.
-BITS, RADIUS, BANDS = 256, 40, simhash.drawn_bands(256, 16, 40)
+#: Five-word shingles, 256 bits. At a Jaccard likeness of 0.8 about 15 % of the bits (38) differ, with a spread of 5.7 bits:
+#: within the radius are 8 in 10 such pairs, 97 in 100 of likeness 0.85, nearly all from 0.9; pairs below 0.72 hardly ever.
+#: 40 drawn bands of 16 bits find 95 % of pairs of likeness 0.8, over 99 % from 0.85.
+BITS, RADIUS, BANDS = 256, 43, simhash.drawn_bands(256, 16, 40)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

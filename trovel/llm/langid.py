@@ -50,7 +50,7 @@ class TextModel:
     def loglik(self, text: str) -> list[float]:
         """Log likelihoods, tempered to EVIDENCE observations at most and relative to the best; zeros for no letters."""
         found = trigrams(text)
-        if not len(found):
+        if not len(found) or not self.languages:
             return [0.0] * len(self.languages)
         total = self.table[:, found].sum(1) * min(1.0, EVIDENCE / len(found))
         return (total - total.max()).tolist()
