@@ -43,7 +43,7 @@ def decompose(s: pd.Series) -> pd.Series:
 def strip_markup(c: Column) -> Column:
     """Block-level tags become a space, other tags go, white space is one space. The block pattern has no word boundary, so
     a tag whose name only begins like a block's counts as one."""
-    blocks = F.regexp_replace(c, r"(?i)</?(p|br|div|li|ul|ol|tr|td|th|table|h[1-6])[^>]*>", " ")
+    blocks = F.regexp_replace(c, r"(?i)</?(p|br|div|tr|td|table)[^>]*>", " ")
     return F.coalesce(trim_ws(F.regexp_replace(F.regexp_replace(blocks, r"<[^>]+>", ""), SPACE, " ")), F.lit(""))
 
 
@@ -72,7 +72,7 @@ def with_prefix(c: Column, prefix: str) -> Column:
 
 
 def without_prefix(c: Column, prefix: str) -> Column:
-    return F.regexp_replace(c, rf"(?i)^{prefix}\s*", "")
+    return trim_ws(F.regexp_replace(trim_ws(c), rf"(?i)^{prefix}", ""))
 
 
 def identifier(c: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from trovel.functions.text import identifier, node_id, usable
 
 #: Relations that every document should have.
-EXPECTED = ("TEM_AREA", "TEM_TEMA", "TEM_SUBTEMA", "INDEXADO_POR", "CITA")
+EXPECTED = ("TEM_AREA", "TEM_TEMA", "TEM_SUBTEMA", "TEM_AUTOR_TESE", "TEM_TIPO_PROCESSO")
 #: What a list of legal references leaves when it is split at the commas inside one.
-FRAGMENTS = ("art", "art.", "inciso", "lei", "caput", "parágrafo", "alínea")
+FRAGMENTS = ("inc.", "art.", "par.", "alínea", "congresso nacional", "tcu", "presidente da república")
 
 
 def build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -119,7 +119,7 @@ def exact_tests(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFr
         low, high = np.percentile(means, [2.5, 97.5])
         rng = np.random.default_rng(seed)
         signs = rng.choice(np.array([-1.0, 1.0]), size=(draws, len(d)))
-        p = (np.sum(np.abs((signs * d).mean(axis=1)) >= abs(d.mean()) - TOLERANCE) + 1) / (draws + 1)
+        p = (np.sum(np.abs((signs * d).mean(axis=1)) >= abs(d.mean())) + 1) / (draws + 1)
         return pd.DataFrame({"comparison": [pdf["comparison"].iloc[0]], "metric": [pdf["metric"].iloc[0]], "low": [low], "high": [high], "p": [p]})
 
     return pairs.groupBy("comparison", "metric").applyInPandas(run, "comparison string, metric string, low double, high double, p double")

@@ -283,7 +283,7 @@ def graph_isolated(m: Model) -> DataFrame:
     return graph.isolated(*m.graph()).select("node_id", "tipo")
 
 
-@query("""SELECT relation, count(*) FILTER (origem IS NULL) AS n_missing FROM (SELECT node_id FROM node WHERE tipo = 'documento') CROSS JOIN (VALUES ('TEM_AREA'), ('TEM_TEMA'), ('TEM_SUBTEMA'), ('INDEXADO_POR'), ('CITA')) v(relation)
+@query("""SELECT relation, count(*) FILTER (origem IS NULL) AS n_missing FROM (SELECT node_id FROM node WHERE tipo = 'documento') CROSS JOIN (VALUES ('TEM_AREA'), ('TEM_TEMA'), ('TEM_SUBTEMA'), ('TEM_AUTOR_TESE'), ('TEM_TIPO_PROCESSO')) v(relation)
   LEFT JOIN (SELECT DISTINCT origem, tipo FROM edge) ON origem = node_id AND tipo = relation GROUP BY ALL""")
 def graph_missing_relations(m: Model) -> DataFrame:
     return graph.missing_relations(*m.graph())
@@ -304,7 +304,7 @@ def graph_neighbours(m: Model) -> DataFrame:
     return graph.neighbours(m.graph()[1], m.spark.createDataFrame([("documento::3",), ("area::en",), ("area::fr",)], "node_id string"))
 
 
-@query("SELECT node_id, nome FROM node WHERE tipo = 'referencia_legal' AND (lower(trim(nome)) IN ('art', 'art.', 'inciso', 'lei', 'caput', 'parágrafo', 'alínea') OR length(trim(nome)) <= 5)")
+@query("SELECT node_id, nome FROM node WHERE tipo = 'referencia_legal' AND (lower(trim(nome)) IN ('inc.', 'art.', 'par.', 'alínea', 'congresso nacional', 'tcu', 'presidente da república') OR length(trim(nome)) <= 5)")
 def graph_reference_fragments(m: Model) -> DataFrame:
     return graph.fragments(m.graph()[0])
 
@@ -329,9 +329,9 @@ def valid_relations(m: Model) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT len(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\p{Z}]+'), lambda x: x <> '')) AS n FROM documents)
-SELECT CASE WHEN n <= 100 THEN '0-100' WHEN n <= 300 THEN '101-300' WHEN n <= 512 THEN '301-512' WHEN n <= 1000 THEN '513-1000' WHEN n <= 2000 THEN '1001-2000' ELSE '2001+' END AS bucket, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM w GROUP BY ALL""", base=False)
+SELECT CASE WHEN n <= 250 THEN '0-250' WHEN n <= 500 THEN '251-500' WHEN n <= 1000 THEN '501-1000' WHEN n <= 2000 THEN '1001-2000' WHEN n <= 5000 THEN '2001-5000' ELSE '5001+' END AS bucket, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM w GROUP BY ALL""", base=False)
 def corpus_word_buckets(m: Model) -> DataFrame:
-    ranges = [("0-100", 0, 100), ("101-300", 101, 300), ("301-512", 301, 512), ("513-1000", 513, 1000), ("1001-2000", 1001, 2000), ("2001+", 2001, None)]
+    ranges = [("0-250", 0, 250), ("251-500", 251, 500), ("501-1000", 501, 1000), ("1001-2000", 1001, 2000), ("2001-5000", 2001, 5000), ("5001+", 5001, None)]
     rows = m.table("documents").select(tables.buckets(T.word_count(F.col("text")), ranges).alias("bucket"))
     return tables.with_share(tables.value_counts(rows, "bucket")).select("bucket", "n", F.round(100 * F.col("share"), 6).alias("percent"))
 
@@ -362,7 +362,7 @@ def longest_documents(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", T.word_count(F.col("text")).alias("n_words")).orderBy(F.desc("n_words"), "doc_id").limit(5)
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '</?(p|br|div|li|ul|ol|tr|td|th|table|h[1-6])[^>]*>', ' ', 'gi'), '<[^>]+>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM pages""", base=False)
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '</?(p|br|div|tr|td|table)[^>]*>', ' ', 'gi'), '<[^>]+>', '', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM pages""", base=False)
 def html_strip_pages(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", T.strip_markup(F.col("html")).alias("text"))
 
