@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trovel import providers
 from trovel.functions import scores as S
 from trovel.functions import text as T
 from trovel.operators import chunks, contexts, graph, metrics, retrieval, tables
@@ -519,3 +520,73 @@ def judge_rules(m: Model) -> DataFrame:
 def event_windows(m: Model) -> DataFrame:
     rows = m.table("events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return rows.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+# Composition, prompts and checks
+
+
+@query("""SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(lang) <> '' THEN 'Área: ' || trim(lang) END, CASE WHEN trim(source) <> '' THEN 'Tema: ' || trim(source) END, CASE WHEN n_chars > 999 THEN 'Subtema: band ' || (n_chars // 1000) END) AS text FROM documents""", base=False)
+def composed_text(m: Model) -> DataFrame:
+    band = F.when(F.col("n_chars") > 999, F.concat(F.lit("band "), F.expr("n_chars div 1000").cast("string")))
+    return m.table("documents").select("doc_id", T.labelled_parts([("Área", F.col("lang")), ("Tema", F.col("source")), ("Subtema", band)]).alias("text"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN starts_with(lower(trim(text)), 'query:') THEN trim(text) ELSE 'query: ' || trim(text) END AS query, md5(trim(text)) AS bare_md5 FROM (SELECT conv_id, turn, regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text FROM conversations)""", base=False)
+def query_prefix(m: Model) -> DataFrame:
+    full = T.with_prefix(F.col("text"), "query: ")
+    return m.table("conversations").select("conv_id", "turn", full.alias("query"), F.md5(T.without_prefix(F.concat(F.lit(" Passage: "), F.col("text")), "passage:")).alias("bare_md5"))
+
+
+@query("""SELECT conv_id, turn, sha256('Question: ' || text || chr(10) || 'Context: ' || role) AS prompt_sha256, sha256(role) AS context_sha256 FROM conversations""", base=False)
+def prompt_hashes(m: Model) -> DataFrame:
+    rows = m.table("conversations").select("conv_id", "turn", F.col("text").alias("question"), F.col("role").alias("context"))
+    return contexts.prompts(rows, "Question: {pergunta}\nContext: {contexto}").select("conv_id", "turn", "prompt_sha256", "context_sha256")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn NOT IN (conv_id, 7) THEN turn::VARCHAR ELSE '' END AS outside FROM conversations", base=False)
+def citations_outside(m: Model) -> DataFrame:
+    answer = F.format_string("as [DOC_%d] and [DOC_%d] say, [DOC_7] too, [DOC_%d]", F.col("conv_id"), F.col("turn"), F.col("turn"))
+    rows = m.table("conversations").select("conv_id", "turn", answer.alias("answer"), F.array(F.col("conv_id"), F.lit(7).cast("long")).alias("doc_ids"))
+    return contexts.outside_citations(rows).select("conv_id", "turn", F.array_join(F.transform("outside", lambda x: x.cast("string")), ",").alias("outside"))
+
+
+@query("SELECT '[' || n_name || '] --(in)--> [' || r_name || ']' AS triple FROM nation JOIN region ON r_regionkey = n_regionkey", base=False)
+def triple_lines(m: Model) -> DataFrame:
+    return m.table("nation").join(F.broadcast(m.table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(T.triple_text(F.col("n_name"), F.lit("in"), F.col("r_name")).alias("triple"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys, count(*) FILTER (embedding IS NULL) AS n_null, count(DISTINCT len(embedding)) AS n_sizes FROM embeddings", base=False)
+def vector_table_check(m: Model) -> DataFrame:
+    return tables.check_vectors(m.table("embeddings"), "vec_id")
+
+
+@query("SELECT doc_id, coalesce(nullif(lang, 'en'), source) AS label FROM documents", base=False)
+def first_present_label(m: Model) -> DataFrame:
+    return m.table("documents").select("doc_id", T.first_present(F.when(F.col("lang") != "en", F.col("lang")).otherwise(""), F.col("source")).alias("label"))
+
+
+@query("SELECT kind, query_id, first_relevant::BIGINT AS first_relevant FROM (SELECT system AS kind, query_id, first_relevant FROM metric) WHERE first_relevant IS NOT NULL")
+def first_relevant(m: Model) -> DataFrame:
+    rows = [m.metrics(s).where("first_relevant IS NOT NULL").select(F.lit(s).alias("kind"), "query_id", big("first_relevant")) for s in ("rag", "graphrag", "hybrid")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SELECT query_id, system FROM judge WHERE (query_id, system) NOT IN (SELECT conv_id, role || '_' || turn FROM conversations WHERE turn % 3 > 0)")
+def missing_answers(m: Model) -> DataFrame:
+    """Gradings whose answer is not in the log, here that of two turns in three."""
+    answers = m.table("conversations").where("turn % 3 > 0").select(F.col("conv_id").alias("query_id"), F.concat_ws("_", "role", F.col("turn").cast("string")).alias("system"))
+    return m.judgements().select("query_id", "system").join(answers, ["query_id", "system"], "left_anti")
+
+
+@query()
+def generated_answers(m: Model) -> DataFrame:
+    """Answers of the stand-in generator to the contexts of the vector system."""
+    docs = m.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(1).alias("num_tokens"))
+    rows = m.rag().where("rank <= 3").join(docs, "doc_id").withColumn("chunk_id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
+    made = contexts.prompts(contexts.assemble(rows, ["query_id"]).withColumn("question", F.lit("?")), "{contexto}\n\n{pergunta}")
+    return providers.generate(made, providers.StubGenerator(), ["query_id"], wait=0.0)
+
+
+@query()
+def embedded_turns(m: Model) -> DataFrame:
+    return providers.embed(m.table("conversations").select("conv_id", "turn", "text"), providers.HashedEmbedder()).drop("text")
