@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovel.llm.common import batches, cut, pick
+from trovel.llm.common import batches, cut, pick, union
 
 #: Bounds of the fitted text model: labelled documents of a language, languages, hashed trigrams.
 EXAMPLES, LANGUAGES, TRIGRAMS = 1_000, 64, 1 << 16
@@ -62,8 +62,8 @@ def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     Null texts and languages are left out."""
     own = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
     languages = sorted(r.lang for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    order = own.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    drawn = [order.where(F.col("lang") == x).orderBy("h").limit(EXAMPLES) for x in languages]
+    own = own.withColumn("h", F.xxhash64("doc_id", "text"))
+    least = [own.where(F.col("lang") == x).select("lang", "h").orderBy("h").limit(EXAMPLES) for x in languages]  # hashes alone are sorted, not texts
     place = {x: k for k, x in enumerate(languages)}
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +77,9 @@ def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([place[lang]] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "trigram", "n"])
 
     table = np.zeros((len(languages), TRIGRAMS))
-    for rows in drawn:
-        for r in rows.mapInArrow(run, "lang int, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).collect():
+    if least:
+        drawn = own.join(F.broadcast(union(least).distinct()), ["lang", "h"]).select("text", "lang")
+        for r in drawn.mapInArrow(run, "lang int, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).collect():
             table[r.lang, r.trigram] = r.n
     return TextModel(languages, np.log((table + 0.1) / (table + 0.1).sum(1, keepdims=True)) if languages else table)
 
