@@ -191,8 +191,8 @@ class Reader:
 
 def read_records(wanted: DataFrame, folder: str, ranges: list[dict], *, payload: bool = False) -> DataFrame:
     """The records of distinct capture keys (column key): page_id, record_type, refers_to, payload_bytes, payload_digest, and
-    the payload if asked for. Keys go to the range of the index that holds them, so a task reads one directory and its
-    blocks in order. Keys that the index lacks, or null, yield nothing."""
+    the payload if asked for. Keys go to the range of the index that holds them, a task for each range, however few bytes its
+    keys are, and it reads one directory and its blocks in order. Keys that the index lacks, or null, yield nothing."""
     kinds = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *([("payload", pa.binary())] if payload else [])]
 
     def placed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def read_records(wanted: DataFrame, folder: str, ranges: list[dict], *, payload:
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in kinds], names=[c for c, _ in kinds])
 
     keys = wanted.where("key IS NOT NULL").select("key").mapInArrow(placed, "key string, part int")
-    return keys.repartition("part").sortWithinPartitions("part", "key").select("key").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload)
+    return keys.repartition(max(1, len(ranges)), "part").sortWithinPartitions("part", "key").select("key").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload)
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
