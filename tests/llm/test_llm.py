@@ -217,6 +217,50 @@ def test_wide_simhash_finds_near_texts():
     assert hits >= 57  # likeness about 0.85
 
 
+@pytest.mark.parametrize("group_rows", [5, 1000])
+def test_exact_likeness_decides(spark, monkeypatch, group_rows):
+    from corpus_pipeline import BANDS, BITS, LIKENESS, RADIUS
+
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+    draw, texts = random.Random(11), []
+    for _ in range(40):
+        a = [f"w{draw.randint(0, 10**6)}" for _ in range(200)]
+        texts.append(" ".join(a))
+        for changed in (3, 5, 6, 8):  # likeness about 0.86, 0.78 to 0.81, 0.73, 0.66
+            b = list(a)
+            for k in draw.sample(range(200), changed):
+                b[k] = "other"
+            texts.append(" ".join(b))
+    texts += [texts[0], "", None, texts[1]]
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), words=5, bits=BITS, radius=RADIUS, bands=BANDS, likeness=LIKENESS)
+    sets, root = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a | b and len(a & b) >= LIKENESS * len(a | b)):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
+
+
+def test_candidate_bands_miss_few_at_the_radius():
+    from corpus_pipeline import BANDS, BITS, RADIUS
+
+    draw = np.random.default_rng(3)
+    missed = sum(not any(not flips[band].any() for band in BANDS) for flips in (draw.permutation(BITS) < RADIUS for _ in range(2_000)))
+    assert RADIUS >= 56 and missed <= 20
+
+
+def test_wide_links_tell_the_components():
+    values = [random.getrandbits(256) for _ in range(20)]
+    values += [v ^ sum(1 << k for k in random.sample(range(256), 30)) for v in values for _ in range(4)]
+    links, root = simhash.wide_links([v.to_bytes(32) for v in values], 56), brute_groups(values, 56)
+    joined = list(range(len(values)))
+    place = {v.to_bytes(32): k for k, v in enumerate(values)}
+    for a, b in links:
+        x, y = joined[place[a]], joined[place[b]]
+        joined = [min(x, y) if r in (x, y) else r for r in joined]
+    assert joined == root and len(links) == len(values) - len(set(root))
+
+
 def test_quality(spark, docs):
     def brute(t):
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if x]

@@ -1,8 +1,9 @@
-"""SimHash near-duplicates: fingerprints, banded cells, and in each cell BK-trees followed only within the radius."""
+"""SimHash near-duplicates: fingerprints, banded cells, in each cell BK-trees or wide distances followed only within the radius;
+where a likeness is asked for, its groups are candidates only and exact Jaccard decides."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -14,6 +15,8 @@ from trovel.llm.common import batches, connected_components, cut, pick
 
 #: Distinct fingerprints of a cell that one task takes; larger cells are searched in tiles of two such blocks.
 CELL_ROWS = 50_000
+#: Members of a candidate group whose shingles one block holds; larger groups are compared in tiles of two such blocks.
+GROUP_ROWS = 1_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -119,7 +122,60 @@ def cell_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def _search(cells: DataFrame, radius: int, most: int | None) -> DataFrame:
+def tree_links(fps: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
+    size = len(fps[0])
+    return [(a.to_bytes(size), b.to_bytes(size)) for a, b in cell_links([int.from_bytes(fp) for fp in fps], radius)]
+
+
+def near_rows(fps: list[bytes], radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each fingerprint with earlier ones within the radius: its place, theirs and their distances."""
+    words = np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1)
+    step = max(1, 2_000_000 // len(fps))
+    for low in range(0, len(fps), step):
+        block = words[low : low + step]
+        far = np.zeros((len(block), min(len(fps), low + step)), np.uint16)
+        for k in range(words.shape[1]):
+            far += np.bitwise_count(block[:, k, None] ^ words[None, : far.shape[1], k])
+        rows, places = np.nonzero(far <= radius)
+        met = places < rows + low
+        rows, places = rows[met], places[met]
+        if not len(rows):
+            continue
+        starts = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            yield low + int(rows[a]), places[a:b], far[rows[a], places[a:b]]
+
+
+def wide_links(fps: list[bytes], radius: int) -> list[tuple[bytes, bytes]]:
+    """Like cell_links, by whole rows of distances: trees part little within radii as wide as a fifth of the bits."""
+    root, links = np.arange(len(fps)), []
+    for i, places, _ in near_rows(fps, radius):
+        met, at = np.unique(root[places], return_index=True)
+        links.extend((fps[i], fps[places[j]]) for j in at.tolist())
+        root[np.isin(root[:i], met).nonzero()[0]] = met[0]
+        root[i] = met[0]
+    return links
+
+
+def alike_links(fps: list[bytes], shingles: list[np.ndarray], radius: int, likeness: float) -> list[tuple[bytes, bytes]]:
+    """Links of a Jaccard likeness of at least likeness between sorted, distinct shingles, enough to tell the components of
+    all such links within the radius."""
+    root, links = np.arange(len(fps)), []
+    for i, places, far in near_rows(fps, radius):
+        own = shingles[i]
+        for j in places[np.argsort(far, kind="stable")].tolist():
+            other = shingles[j]
+            if root[j] == root[i] or min(len(own), len(other)) < likeness * max(len(own), len(other)) - 1e-9:
+                continue
+            at = own.searchsorted(other)
+            both = int((own[np.minimum(at, len(own) - 1)] == other).sum()) if len(own) else 0
+            if both and both >= likeness * (len(own) + len(other) - both) - 1e-9:
+                links.append((fps[i], fps[j]))
+                root[root == root[i]] = root[j]
+    return links
+
+
+def _search(cells: DataFrame, find: Callable[[list[bytes]], list[tuple[bytes, bytes]]], most: int | None) -> DataFrame:
     """cells (key, fp), sorted by key in each partition, to links (a, b); cells of over most rows come back as (key, a)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +183,7 @@ def _search(cells: DataFrame, radius: int, most: int | None) -> DataFrame:
             if most is not None and len(fps) > most:
                 out.extend((key, fp, None) for fp in fps)
             elif len(fps) > 1:
-                size = len(fps[0])
-                out.extend((None, a.to_bytes(size), b.to_bytes(size)) for a, b in cell_links([int.from_bytes(fp) for fp in fps], radius))
+                out.extend((None, a, b) for a, b in find(fps))
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -156,9 +211,12 @@ def _search(cells: DataFrame, radius: int, most: int | None) -> DataFrame:
     return cells.mapInArrow(run, "key long, a binary, b binary")
 
 
-def near_links(prints: DataFrame, bands: list[list[int]], radius: int, *, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_links(prints: DataFrame, bands: list[list[int]], radius: int, links_of: Callable = tree_links, *, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (a, b) between the distinct fingerprints fp of prints, enough to tell the components of all links that share a
-    band's bits."""
+    band's bits. links_of finds those of one cell."""
+
+    def find(fps: list[bytes]) -> list[tuple[bytes, bytes]]:
+        return links_of(fps, radius)
 
     def keyed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -171,20 +229,62 @@ def near_links(prints: DataFrame, bands: list[list[int]], radius: int, *, cell_r
                 yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(k) << np.int64(40)), fps], names=["key", "fp"])
 
     cells = prints.select("fp").mapInArrow(keyed, "key long, fp binary").repartition("key").sortWithinPartitions("key")
-    found = cut(_search(cells, radius, cell_rows))
+    found = cut(_search(cells, find, cell_rows))
     links = found.where("b IS NOT NULL").select("a", "b")
     large = found.where("b IS NULL").select("key", F.col("a").alias("fp"))
     blocks = large.groupBy("key").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("n"))
     dealt = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     tiles = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    return links.unionByName(_search(tiles, radius, None).select("a", "b"))
+    return links.unionByName(_search(tiles, find, None).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, bands: list[list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verified_links(own: DataFrame, groups: DataFrame, *, words: int, bits: int, radius: int, likeness: float, group_rows: int | None = None) -> DataFrame:
+    """Links (a, b) of an exact Jaccard likeness of words-word shingles of at least likeness within each candidate group.
+
+    own has doc_id and text; groups has fp, first_id (a row of that id has that fp) and root, the group. One text of each
+    fingerprint is read again; a group of over group_rows members is dealt to tiles of two blocks.
+    """
+    group_rows = group_rows or GROUP_ROWS
+    ids = groups.select(F.col("first_id").alias("doc_id")).distinct()
+    texts = own.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").unionByName(own.where("doc_id IS NULL"))
+
+    def shingled(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(source, 500):
+            found = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(h, bits) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["fp", "shingles"])
+
+    sets = texts.select("text").mapInArrow(shingled, "fp binary, shingles binary").dropDuplicates(["fp"])
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("n"))
+    dealt = groups.select("fp", "root").join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).join(sets, "fp")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    tiles = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "shingles").repartition("key").sortWithinPartitions("key")
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            found = alike_links(fps, sets, radius, likeness) if len(fps) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        open_key, fps, sets = None, [], []
+        for batch in source:
+            for key, fp, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if key != open_key:
+                    yield links()
+                    open_key, fps, sets = key, [], []
+                fps.append(fp)
+                sets.append(np.frombuffer(shingles, np.uint64))
+        yield links()
+
+    return tiles.mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, bands: list[list[int]], likeness: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (binary, big-endian), component_id (the smallest doc_id reached through links within the radius), n_alike
     (rows of the component) for every row.
 
+    With a likeness, fingerprints are those of distinct shingles, links within the radius only draw candidates together, and
+    a link holds if the exact Jaccard likeness of two texts' shingles is at least that much.
+
     Rows are first drawn together by fingerprint, so copies cost one row. A null or empty text has fingerprint zero and is
     linked like any other; texts of fewer words than a shingle have one shingle; null ids count as the largest; repeated
     rows stay; no rows yield none; other columns are ignored. Components are found over distinct fingerprints, by a hash
@@ -194,15 +294,20 @@ def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, band
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source):
-            fps = [fingerprint(shingle_hashes(t, words), bits) for t in batch.column(1).to_pylist()]
+            found = [shingle_hashes(t, words) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(h if likeness is None else np.unique(h), bits) for h in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
     prints = cut(own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, fp binary"))
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fp")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    links = near_links(classes, bands, radius)
+    links = near_links(classes, bands, radius, tree_links if likeness is None else wide_links)
     name = lambda c: F.conv(F.hex(c), 16, -10).cast("long") if bits == 64 else F.xxhash64(c)
     roots = connected_components(links.select(name("a").alias("a"), name("b").alias("b")))
+    if likeness is not None:
+        groups = cut(classes.withColumn("node", node).join(roots, "node").select("fp", "first_id", "root"))
+        links = cut(verified_links(own, groups, words=words, bits=bits, radius=radius, likeness=likeness))
+        roots = connected_components(links.select(name("a").alias("a"), name("b").alias("b")))
     linked = classes.withColumn("node", node).join(roots, "node")
     groups = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("n_alike"))
     linked = linked.join(groups, "root").select("fp", "component_id", "n_alike")
