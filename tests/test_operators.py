@@ -151,3 +151,14 @@ def test_exact_statistics(spark):
     pairs = spark.createDataFrame([("c", "m", i, d) for i, d in enumerate([0.1, 0.2, 0.0, 0.3])], "comparison string, metric string, query_id long, delta double")
     row = metrics.exact_tests(pairs, draws=500).first()
     assert 0 <= row.low <= 0.15 <= row.high <= 0.3 and 0 < row.p <= 1
+
+
+def test_unicode_ids_tell_long_texts_apart(spark):
+    from trovel.plans import queries
+
+    class Tables:
+        def table(self, name):
+            return spark.createDataFrame([(1, "é" * 80 + " one"), (2, "é" * 80 + " two"), (3, "Ação")], "doc_id long, text string")
+
+    found = {r.doc_id: r.id for r in queries.unicode_ids(Tables()).collect()}
+    assert found[1] != found[2] and found[1].endswith("one") and found[2].endswith("two")

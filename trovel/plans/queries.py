@@ -375,7 +375,7 @@ def html_clean_pages(m: Model) -> DataFrame:
 
 @query()
 def unicode_ids(m: Model) -> DataFrame:
-    return m.table("documents").select("doc_id", T.unicode_identifier(F.substring("text", 1, 80)).alias("id"))
+    return m.table("documents").select("doc_id", T.unicode_identifier(F.col("text")).alias("id"))
 
 
 @query("""SELECT 'text' AS column_name, count(*) AS n_rows, count(*) FILTER (text IS NULL) AS n_null, count(*) FILTER (trim(text) = '') AS n_blank, count(DISTINCT text) AS n_distinct FROM documents
