@@ -162,3 +162,15 @@ def test_unicode_ids_tell_long_texts_apart(spark):
 
     found = {r.doc_id: r.id for r in queries.unicode_ids(Tables()).collect()}
     assert found[1] != found[2] and found[1].endswith("one") and found[2].endswith("two")
+
+
+def test_exact_bootstrap_draws_ten_thousand(spark):
+    from trovel.plans import queries
+
+    class Pairs:
+        def paired(self):
+            return spark.createDataFrame([("a_vs_b", "m", i, (i * 7 % 11) / 10 - 0.3) for i in range(30)], "comparison string, metric string, query_id long, delta double")
+
+    row = queries.bootstrap_permutation_exact(Pairs()).first()
+    assert round(row.p * 10_001, 6) == round(row.p * 10_001) and row.p > 0
+    assert tuple(row) == tuple(metrics.exact_tests(Pairs().paired(), draws=10_000).first())

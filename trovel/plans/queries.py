@@ -224,7 +224,7 @@ def permutation_p_md5(m: Model) -> DataFrame:
 
 @query()
 def bootstrap_permutation_exact(m: Model) -> DataFrame:
-    return metrics.exact_tests(m.paired(), draws=2_000)
+    return metrics.exact_tests(m.paired(), draws=10_000)
 
 
 @query("""SELECT query_id, doc_id, CASE WHEN r.query_id IS NOT NULL AND g.query_id IS NOT NULL THEN 'kept' WHEN r.query_id IS NOT NULL THEN 'removed' ELSE 'new' END AS change FROM rag r FULL JOIN graphrag g USING (query_id, doc_id)""")
