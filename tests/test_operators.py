@@ -174,3 +174,23 @@ def test_exact_bootstrap_draws_ten_thousand(spark):
     row = queries.bootstrap_permutation_exact(Pairs()).first()
     assert round(row.p * 10_001, 6) == round(row.p * 10_001) and row.p > 0
     assert tuple(row) == tuple(metrics.exact_tests(Pairs().paired(), draws=10_000).first())
+
+
+def test_generated_answers_see_all_ten_ranks(spark, monkeypatch):
+    from trovel.plans import queries
+
+    class Ranked:
+        def table(self, name):
+            return spark.createDataFrame([(i, f"text {i}") for i in range(12)], "doc_id long, text string")
+
+        def rag(self):
+            return spark.createDataFrame([(1, i + 1, i, 0, 1.0) for i in range(10)], "query_id long, rank int, doc_id long, chunk_index long, score double")
+
+    class CountsBlocks:
+        name = "counts"
+
+        def generate(self, prompt):
+            return str(prompt.count("[DOC_"))
+
+    monkeypatch.setattr(providers, "StubGenerator", CountsBlocks)
+    assert [r.answer for r in queries.generated_answers(Ranked()).collect()] == ["10"]
