@@ -141,6 +141,14 @@ def test_language(spark):
     assert {r.language for r in langid.identify(pages, none).collect()} == {None}
 
 
+def test_every_labelled_language_is_fitted(spark):
+    words = lambda k: " ".join(f"{chr(0x4E00 + 50 * k + i)}{chr(0x4E01 + 50 * k + i)}{chr(0x4E02 + 50 * k + i)}" for i in range(20))
+    train = spark.createDataFrame([(100 * k + i, words(k), f"l{k:02}") for k in range(70) for i in range(2 if k else 1)], "doc_id long, text string, lang string")
+    model = langid.fit_text(train)
+    assert model.languages == [f"l{k:02}" for k in range(70)]
+    assert all(int(np.argmax(model.loglik(words(k)))) == k for k in (0, 35, 69))
+
+
 def test_url_rules(spark):
     rules = [url_filter.host_rule("allow", "org/"), url_filter.host_rule("block", "example.org/en/1"), url_filter.url_rule("block", "||bets."), url_filter.url_rule("block", "/casino/"), url_filter.url_rule("allow", "||docs."), url_filter.url_rule("block", "-loans^"), url_filter.url_rule("block", "*x*")]
     assert rules[0].tokens == ("org",) and rules[1].tokens == ("example", "org", "en") and rules[6].tokens == ()

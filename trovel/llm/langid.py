@@ -8,13 +8,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trovel.llm.common import batches, cut, pick, union
+from trovel.llm.common import batches, cut, pick
 
-#: Bounds of the fitted text model: labelled documents of a language, languages, hashed trigrams.
-EXAMPLES, LANGUAGES, TRIGRAMS = 1_000, 64, 1 << 16
+#: Bounds of the fitted text model: labelled documents of a language, hashed trigrams.
+EXAMPLES, TRIGRAMS = 1_000, 1 << 16
 #: Trigrams of a text count as so many independent observations at most; pseudo-counts of the levels of host priors and of
 #: the tables of declared languages and suffixes.
 EVIDENCE, PRIOR, TABLE = 30.0, 4.0, 2.0
@@ -57,13 +57,13 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> TextModel:
-    """Trigram model of labelled texts: at most EXAMPLES of a language, those of the smallest hash of id and text, and the
-    LANGUAGES most frequent languages. Counts are summed in each task first; what reaches the driver is a table of fixed size.
-    Null texts and languages are left out."""
+    """Trigram model of labelled texts: at most EXAMPLES of a language, those of the smallest hash of id and text. Counts are
+    summed in each task first; what reaches the driver is a table of one row of fixed size for every labelled language. Null
+    texts and languages are left out."""
     own = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where("text IS NOT NULL AND lang IS NOT NULL")
-    languages = sorted(r.lang for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    languages = sorted(r.lang for r in own.select("lang").distinct().collect())
     own = own.withColumn("h", F.xxhash64("doc_id", "text"))
-    least = [own.where(F.col("lang") == x).select("lang", "h").orderBy("h").limit(EXAMPLES) for x in languages]  # hashes alone are sorted, not texts
+    least = own.select("lang", "h").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= EXAMPLES)  # hashes alone are sorted, not texts
     place = {x: k for k, x in enumerate(languages)}
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,8 +77,8 @@ def fit_text(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             yield pa.RecordBatch.from_arrays([pa.array([place[lang]] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "trigram", "n"])
 
     table = np.zeros((len(languages), TRIGRAMS))
-    if least:
-        drawn = own.join(F.broadcast(union(least).distinct()), ["lang", "h"]).select("text", "lang")
+    if languages:
+        drawn = own.join(F.broadcast(least.select("lang", "h").distinct()), ["lang", "h"]).select("text", "lang")
         for r in drawn.mapInArrow(run, "lang int, trigram long, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n")).collect():
             table[r.lang, r.trigram] = r.n
     return TextModel(languages, np.log((table + 0.1) / (table + 0.1).sum(1, keepdims=True)) if languages else table)
