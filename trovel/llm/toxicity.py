@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,90 +15,144 @@ from pyspark.sql import functions as F
 
 from trovel.llm.common import batches, cut, pick
 
-#: Bounds of the fitted part: labelled examples of each class, terms of the vocabulary.
-EXAMPLES, TERMS = 4_096, 4_096
-#: Examples of a class that must hold a term, and the least log-likelihood ratio of its counts by class, for the vocabulary.
-LEAST_EXAMPLES, LEAST_RATIO = 8, 30.0
-NEIGHBOURS, BLOCK = 15, 256
+#: The bound of the fitted part: labelled examples of each class.
+EXAMPLES = 2_048
+NEIGHBOURS, BLOCK = 10, 256
 #: Lengths of the word starts that are terms beside whole words.
-STARTS = (4, 5, 6)
-
+STARTS = (3, 5)
+#: The idf of the rarest terms: what fewer than one row in e^4 (55) holds weighs alike, so words seen once don't drown the rest.
+RAREST = 4.0
+#: A term of at least so many examples is a long list: weights of whole blocks under block maxima. Shorter ones are postings.
+LONG_LIST = 256
+#: Word forms whose terms a worker remembers, and the longest of them; bounds its memory, never changes a result.
+FORMS, LONGEST = 200_000, 64
+
+_POSITIVE = 2**62 - 1
 _WORD = re.compile(r"[^\W_]+")
 
 
-def terms(text: str, keys: set[str] | None = None) -> Counter:
-    """Counts of the words of a text, in lower case, and of their starts (marked by a final *). With keys, only of the words
-    that begin like a term of a vocabulary, by its first characters."""
-    found = _WORD.findall(text.lower())
-    words = Counter(found if keys is None else [w for w in found if w[: STARTS[0]] in keys])
-    found = Counter(words)
-    for word, n in words.items():
-        for k in STARTS:
-            if len(word) > k:
-                found[word[:k] + "*"] += n
+def terms_of(word: str) -> tuple[str, ...]:
+    """A word's terms: itself, and its starts (marked by a final *)."""
+    return (word, *[word[:k] + "*" for k in STARTS if len(word) > k])
+
+
+def terms(text: str) -> Counter:
+    """Counts of all terms of a text, in lower case."""
+    found: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        for term in terms_of(word):
+            found[term] += n
     return found
 
 
 @dataclass
 class Index:
-    """The labelled examples, alike ones side by side. idf: term to (number, weight). Postings lie by term and example; those
-    of term t in block b of examples from first[t, b] to first[t, b + 1]; top[t, b] is the largest weight among them. weights are those of the classes, which undo the
-    equal numbers that were drawn; scores maps a raw vote to the share of toxic examples near that vote."""
-
-    idf: dict[str, tuple[int, float]]
+    """The labelled examples, alike ones side by side. Terms are numbered by falling number of examples: the first `long` ones
+    are long lists. Postings (example, count) of term t lie from first[t] to first[t + 1]. votes and shares map a raw vote to
+    the share of toxic rows near that vote."""
+
+    names: list[str]
+    idf: np.ndarray
+    unseen: float
+    long: int
     first: np.ndarray
     example: np.ndarray
-    weight: np.ndarray
-    top: np.ndarray
+    count: np.ndarray
+    norm: np.ndarray
     toxic: np.ndarray
     ids: np.ndarray
-    class_weight: tuple[float, float]
     votes: np.ndarray
     shares: np.ndarray
 
     def __post_init__(self):
-        self.keys = {t.rstrip("*")[: STARTS[0]] for t in self.idf}
-
-    def vector(self, counts: Counter) -> list[tuple[int, float]]:
-        known = [(*self.idf[t], n) for t, n in counts.items() if t in self.idf]
-        norm = sum((w * n) ** 2 for _, w, n in known) ** 0.5
-        return sorted((t, w * n / norm) for t, w, n in known)
-
-    def nearest(self, query: list[tuple[int, float]], k: int, without: int | None = None) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, then smallest number, exactly: blocks in falling order of their bound, until
-        no bound reaches the k-th best so far."""
-        if not query or not len(self.toxic):
+        self.ready = False
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__} | {"ready": False}
+
+    def prepare(self) -> Index:
+        """What follows from the rest, made once a worker: numbers of terms, weights, long lists in blocks and their maxima."""
+        if self.ready:
+            return self
+        self.numbers, self.forms = {t: k for k, t in enumerate(self.names)}, {}
+        self.blocks = max(1, -(-len(self.ids) // BLOCK))
+        term = np.repeat(np.arange(len(self.names)), np.diff(self.first))
+        weight, example = self.count * self.idf[term] / self.norm[self.example], self.example.astype(np.int64)
+        split = int(self.first[self.long])
+        self.lists = np.zeros((self.blocks, self.long, BLOCK), np.float32)
+        self.lists[example[:split] // BLOCK, term[:split], example[:split] % BLOCK] = weight[:split]
+        self.top = self.lists.max(2).T.copy() if self.long else np.zeros((0, self.blocks))
+        self.weight, self.visited, self.asked, self.ready = weight, 0, 0, True
+        return self
+
+    def _numbers(self, word: str) -> tuple[int, ...]:
+        """Numbers of a word's terms; those of no example, by hash, are negative."""
+        found = self.forms.get(word)
+        if found is None:
+            get = self.numbers.get
+            found = tuple([n if (n := get(t)) is not None else -1 - (hash(t) & _POSITIVE) for t in terms_of(word)])
+            if len(word) <= LONGEST:
+                if len(self.forms) >= FORMS:
+                    self.forms.clear()
+                self.forms[word] = found
+        return found
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and unit weights of the terms of a whole text that some example holds; its other terms count in its norm."""
+        words = Counter(_WORD.findall(text.lower()))
+        numbers = list(map(self._numbers, words))
+        found = np.fromiter(chain.from_iterable(numbers), np.int64)
+        if not len(found):
+            return found, np.empty(0)
+        order = found.argsort()
+        found, counts = found[order], np.fromiter(words.values(), np.float64).repeat(np.fromiter(map(len, numbers), np.int64))[order]
+        starts = np.flatnonzero(np.diff(found, prepend=found[0] - 1))
+        found, counts = found[starts], np.add.reduceat(counts, starts)
+        at = int(found.searchsorted(0))
+        weights = counts[at:] * self.idf[found[at:]]
+        norm = (float(weights @ weights) + float((counts[:at] ** 2).sum()) * self.unseen**2) ** 0.5
+        return found[at:], weights / (norm or 1.0)
+
+    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, without: int | None = None) -> list[tuple[float, int]]:
+        """The k examples of largest cosine (to 6 decimals), then smallest number, exactly: short lists are added up for all
+        examples; with the long lists' maxima that bounds each block; the long lists are read in the block of the largest bound,
+        then in those blocks alone whose bound reaches the k-th best found there."""
+        found, weights = query
+        if not len(found) or not len(self.ids):
             return []
-        bounds = sum(w * self.top[t] for t, w in query)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(best) == k and bounds[block] + 1e-9 < -best[-1][0]):
+        h = int(found.searchsorted(self.long))
+        start, heads, own = self.first[found[h:]], found[:h], weights[:h]
+        n = self.first[found[h:] + 1] - start
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        scores = np.bincount(self.example[at], self.weight[at] * np.repeat(weights[h:], n), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bounds = scores.max(1) + own @ self.top[heads]
+        self.asked += 1
+        order = np.argsort(-bounds, kind="stable")
+        best, places, least = np.empty(0), np.empty(0, np.int64), 0.0
+        for here in (order[:1], order[1:]):  # the best block first; then those whose bound reaches the k-th best in it
+            here = here[(bounds[here] > 0) & (bounds[here] + 1e-6 >= least)]
+            if not len(here):
                 break
-            low, scores = block * BLOCK, np.zeros(BLOCK)
-            for t, w in query:
-                if self.top[t, block] > 0:
-                    a, b = self.first[t, block], self.first[t, block + 1]
-                    scores[self.example[a:b] - low] += w * self.weight[a:b]
-            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
-            over = np.flatnonzero(scores > least)
-            if len(over) > k + 1:  # ties at the k-th place stay
-                over = over[scores[over] >= np.partition(scores[over], -k - 1)[-k - 1]]
-            found = [(-float(scores[j]), low + j) for j in over.tolist() if low + j != without]
-            best = sorted(best + found)[:k]
-        return [(-s, j) for s, j in best]
+            self.visited += len(here)
+            found = np.round(scores[here] + own.astype(np.float32) @ self.lists[here[:, None], heads[None, :]], 6)
+            if without is not None:
+                found[here == without // BLOCK, without % BLOCK] = 0.0
+            rows, over = np.nonzero((found > 0) & (found >= least))
+            best, places = np.concatenate([best, found[rows, over]]), np.concatenate([places, here[rows] * BLOCK + over])
+            by = np.lexsort((places, -best))[:k]
+            best, places = best[by], places[by]
+            least = float(best[-1]) if len(best) == k else 0.0
+        return list(zip(best.tolist(), places.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of toxic votes, each weighted by cosine squared and its class, with a small vote of the prior."""
-        votes = [0.02 * self.class_weight[0], 0.02 * self.class_weight[1]] if self.class_weight[1] else [1.0, 0.0]
-        for s, j in near:
-            votes[int(self.toxic[j])] += s * s * self.class_weight[int(self.toxic[j])]
-        return votes[1] / (sum(votes) or 1.0)
+        """Share of toxic votes, each weighted by its cosine; 0 without neighbours."""
+        whole = sum(s for s, _ in near)
+        return sum(s for s, j in near if self.toxic[j]) / whole if whole else 0.0
 
     def score(self, text: str) -> tuple[float, list[tuple[int, float, int]]]:
         """The calibrated score and its evidence: nearest examples' ids, cosines and labels."""
-        near = self.nearest(self.vector(terms(text, self.keys)), NEIGHBOURS)
-        raw = self.vote(near)
-        score = float(np.interp(raw, self.votes, self.shares)) if len(self.votes) else 0.0
+        near = self.nearest(self.vector(text), NEIGHBOURS)
+        score = float(np.interp(self.vote(near), self.votes, self.shares)) if len(self.votes) else 0.0
         return score, [(int(self.ids[j]), s, int(self.toxic[j])) for s, j in near]
 
 
@@ -115,86 +170,89 @@ def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array(xs), np.array(ys)
 
 
-def build(examples: list[tuple[int, int, list[str], list[int]]], idf: dict[str, tuple[int, float]], totals: tuple[int, int]) -> Index:
-    """The index of (id, label, terms, counts), every one of the vocabulary idf; totals: labelled rows of either class."""
-    blocks = max(1, -(-len(examples) // BLOCK))
-    none = np.empty(0, np.int64)
-    index = Index(idf, np.zeros((len(idf), blocks + 1), np.int64), none, np.empty(0), np.zeros((len(idf), blocks)), none, none, (0.0, 0.0), np.empty(0), np.empty(0))
-    found = [(e[0], e[1], index.vector(Counter(dict(zip(e[2], e[3], strict=True))))) for e in examples]
-    found.sort(key=lambda e: (not e[2], [t for t, w in sorted(e[2], key=lambda x: (-x[1], x[0]))], e[0]))
-    index.ids, index.toxic, vectors = np.array([e[0] for e in found], np.int64), np.array([e[1] for e in found], np.int64), [e[2] for e in found]
-    toxic, drawn = index.toxic, [sum(e[1] == c for e in found) for c in (0, 1)]
-    weights = index.class_weight = tuple(totals[c] / drawn[c] if drawn[c] else 0.0 for c in (0, 1))
-    rows = sorted((t, j, w) for j, v in enumerate(vectors) for t, w in v)
-    index.example, index.weight = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-    if rows:
-        term, block = np.array([r[0] for r in rows]), index.example // BLOCK
-        np.maximum.at(index.top, (term, block), index.weight)
-        index.first = np.searchsorted(term * (blocks + 1) + block, np.arange(len(idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :])
-    raw = np.array([index.vote(index.nearest(v, NEIGHBOURS, without=j)) for j, v in enumerate(vectors)])
-    if len(raw):
-        index.votes, index.shares = monotone(raw, toxic.astype(float), np.array([weights[c] for c in toxic]))
-        n = float(sum(totals))  # half a row on either side, so no score claims certainty
-        index.shares = (index.shares * n + 0.5) / (n + 1)
+def build(examples: pa.Table, totals: tuple[int, int]) -> Index:
+    """The index of examples (doc_id, toxic, terms, counts); totals: labelled rows of either class, which undo the equal numbers
+    that were drawn: a term's idf is that among all labelled rows as the drawn ones tell it, ln((1 + rows) / (1 + rows with
+    the term)), at most RAREST."""
+    examples = examples.sort_by("doc_id").combine_chunks()
+    ids, toxic = examples["doc_id"].to_numpy(), examples["toxic"].to_numpy().astype(np.int64)
+    per_class = np.array([totals[c] / max(1, (toxic == c).sum()) for c in (0, 1)])
+    lists, counts = examples["terms"].combine_chunks(), examples["counts"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    counts, example = counts.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+    rows, whole = np.bincount(codes, minlength=len(names)), float(sum(totals))
+    order = np.argsort(-rows, kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    seen = np.bincount(codes, per_class[toxic[example]], len(names))[order]
+    idf = np.clip(np.log((1 + whole) / (1 + seen)), 0.0, RAREST)
+    codes = number[codes]
+    weight = counts * idf[codes]
+    norm = np.sqrt(np.bincount(example, weight**2, len(ids)))
+    lead = np.zeros(len(ids), np.int64)  # alike examples lie side by side: by their heaviest term
+    by = np.lexsort((codes, -weight, example))
+    heads = np.flatnonzero(np.diff(example[by], prepend=-1))
+    lead[example[by][heads]] = codes[by][heads]
+    side = np.lexsort((ids, lead))
+    place = np.empty_like(side)
+    place[side] = np.arange(len(side))
+    example = place[example]
+    by = np.lexsort((example, codes))
+    first = np.searchsorted(codes[by], np.arange(len(names) + 1))
+    index = Index([names[k] for k in order], idf, min(float(np.log(1 + whole)), RAREST), int((rows >= LONG_LIST).sum()), first, example[by].astype(np.int32), counts[by], np.where(norm[side] > 0, norm[side], 1.0), toxic[side], ids[side], np.empty(0), np.empty(0))
+    index.prepare()
+    if len(ids):
+        by = np.lexsort((index.weight, index.example))
+        term, weight, ends = np.repeat(np.arange(len(names)), np.diff(first))[by], index.weight[by], np.searchsorted(index.example[by], np.arange(len(ids) + 1))
+        raw = np.empty(len(ids))
+        for j in range(len(ids)):
+            own, w = term[ends[j] : ends[j + 1]], weight[ends[j] : ends[j + 1]]
+            up = np.argsort(own)
+            raw[j] = round(index.vote(index.nearest((own[up], w[up]), NEIGHBOURS, without=j)), 4)
+        index.votes, index.shares = monotone(raw, index.toxic.astype(float), per_class[index.toxic])
+        index.shares = (index.shares * whole + 0.5) / (whole + 1)  # half a row on either side, so no score claims certainty
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_examples: int = EXAMPLES, most_terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """Fits the index on labels (doc_id, toxic 0 or 1) and their texts.
+def fit(docs: DataFrame, labels: DataFrame, *, most_examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """Fits the index on labels (doc_id, toxic 0 or 1) and their whole texts.
 
-    At most most_examples rows of either class are drawn, those of the smallest hash of the id; the vocabulary is the
-    most_terms terms whose counts by class differ most. Nothing else reaches the driver: example vectors hold terms of the
-    vocabulary only. Null labels, ids and texts are left out; of an id's labels the largest holds; no labels give an index
-    that scores 0.
+    At most most_examples rows of either class are drawn, those of the smallest hash of the id; all their terms are indexed,
+    whatever their class. Only the drawn rows' terms and counts reach the driver. Null labels, ids and texts are left out; of
+    an id's labels the largest holds, of its texts the least; no labels give an index that scores 0.
     """
     known = pick(labels, doc_id=id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = cut(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     by_class = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     drawn = known.where("toxic = 0").orderBy(order, "doc_id").limit(most_examples).unionByName(known.where("toxic = 1").orderBy(order, "doc_id").limit(most_examples))
-    texts = pick(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
+    texts = pick(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")  # at most twice most_examples ids
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(source, 200):
-            rows = [(terms(t), i, y) for i, t, y in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for _, i, _ in rows], pa.int64()), pa.array([y for _, _, y in rows], pa.int32()), pa.array([list(c) for c, _, _ in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c, _, _ in rows], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "terms", "counts"],
-            )
-
-    rows = cut(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(counted, "doc_id long, toxic int, terms array<string>, counts array<int>"))
-    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    seen = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("toxic")).cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
-    part = lambda x, all_of: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) * F.lit(n0 + n1) / ((F.col("a") + F.col("b")) * F.lit(max(all_of, 1.0))))).otherwise(0.0)
-    chosen = seen.where(F.greatest("a", "b") >= LEAST_EXAMPLES).withColumn("ratio", 2 * (part("a", n0) + part("b", n1)))
-    chosen = chosen.where((F.col("ratio") >= LEAST_RATIO) & (F.col("b") * max(n0, 1.0) > F.col("a") * max(n1, 1.0))).orderBy(F.desc("ratio"), "term").limit(most_terms).collect()
-    idf = {r.term: (k, float(np.log((1 + n0 + n1) / (1 + r.a + r.b)) + 1)) for k, r in enumerate(chosen)}
-    names = set(idf)
-
-    def only(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(source, 500):
-            kept = [[(t, n) for t, n in zip(ts, ns, strict=True) if t in names] for ts, ns in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[t for t, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[n for _, n in k] for k in kept], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+            rows = [terms(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
 
-    small = rows.mapInArrow(only, "doc_id long, toxic int, terms array<string>, counts array<int>")
-    examples = sorted((r.doc_id, r.toxic, list(r.terms), list(r.counts)) for r in small.collect())
-    return build(examples, idf, (by_class.get(0, 0), by_class.get(1, 0)))
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(counted, "doc_id long, toxic int, terms array<string>, counts array<long>")
+    return build(rows.toArrow(), (by_class.get(0, 0), by_class.get(1, 0)))
 
 
 def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text", into: tuple[str, str] = ("score", "evidence"), extra: list[str] = ()) -> DataFrame:
     """doc_id, score, evidence (nearest examples: id, cosine, label) of every whole text, and the columns named as extra; the
     two middle ones are called as into says, where extra columns have those names.
 
-    Null and empty texts, and texts without a term of the vocabulary, have no neighbours and the score of such examples;
-    each row is scored alone; no rows yield none. The index, of bounded size, is broadcast.
+    Null and empty texts, and texts without a term of any example, have no neighbours and the lowest score; each row is scored
+    alone, so copies score alike; ties among neighbours go to the smaller number; no rows yield none. The index, whose size
+    the number of examples bounds, is broadcast.
     """
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([id_col, text_col, *extra])])
     shared = docs.sparkSession.sparkContext.broadcast(index)
     names = ["c0", "score", "evidence", *own.columns[2:]]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = shared.value.prepare()
         for batch in batches(source, 500):
             found = [index.score(t or "") for t in batch.column(1).to_pylist()]
             near = [[{"doc_id": i, "cosine": s, "toxic": y} for i, s, y in e] for _, e in found]
