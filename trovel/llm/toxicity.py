@@ -19,7 +19,7 @@ from trovel.llm.common import batches, cut, pick
 EXAMPLES = 2_048
 NEIGHBOURS, BLOCK = 10, 256
 #: Lengths of the word starts that are terms beside whole words.
-STARTS = (3, 5)
+STARTS = (4,)
 #: The idf of the rarest terms: what fewer than one row in e^4 (55) holds weighs alike, so words seen once don't drown the rest.
 RAREST = 4.0
 #: A term of at least so many examples is a long list: weights of whole blocks under block maxima. Shorter ones are postings.
