@@ -195,41 +195,65 @@ def test_simhash(spark, monkeypatch, cell_rows):
             texts.append(" ".join(c).upper() if random.random() < 0.3 else " ".join(c))
     texts += texts[4:8]
     df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("fp", F.lit(1)).repartition(3)
-    found = {r.doc_id: r for r in simhash.near_duplicates(df, words=4, bits=64, radius=4, bands=simhash.exact_bands(64, 4)).collect()}
+    found = {r.doc_id: r for r in simhash.near_duplicates(df, words=4, bits=64, radius=4).collect()}
     rows = sorted((1000 - i, int.from_bytes(simhash.fingerprint(simhash.shingle_hashes(t, 4), 64))) for i, t in enumerate(texts))
     root = brute_groups([f for _, f in rows], 4)
     assert [found[i].component_id for i, _ in rows] == [rows[k][0] for k in root]
     assert all(int.from_bytes(found[i].fp) == f for i, f in rows) and found[1000].component_id == found[999].component_id
-    assert simhash.near_duplicates(df.limit(0), words=4, bits=64, radius=4, bands=simhash.exact_bands(64, 4)).count() == 0
-
-
-def test_bk_tree_and_bands():
-    values = [random.getrandbits(64) for _ in range(60)]
-    values += [v ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for v in values[:30]]
-    links, root = simhash.cell_links(values, 4), brute_groups(values, 4)
-    assert all((a ^ b).bit_count() <= 4 for a, b in links) and len(links) == len(values) - len(set(root))
-    for _ in range(300):
-        flips = set(random.sample(range(64), 4))
-        assert any(not flips & set(band) for band in simhash.exact_bands(64, 4))
+    assert simhash.near_duplicates(df.limit(0), words=4, bits=64, radius=4).count() == 0
+
+
+def test_bk_tree_and_bands(monkeypatch):
+    draw = random.Random(2)
+    values = [draw.getrandbits(64) for _ in range(60)]
+    values += [v ^ (1 << draw.randrange(64)) ^ (1 << draw.randrange(64)) for v in values[:30]]
+    values += [values[3] ^ (1 << i) for i in range(64)] + [values[5] ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(20, 30)]
+    values = sorted(set(values), key=hash)
+    for crowd in (2, 32, 10_000):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        links, root = simhash.cell_links(values, 4), brute_groups(values, 4)
+        assert all((a ^ b).bit_count() <= 4 for a, b in links) and len(links) == len(values) - len(set(root))
+    for rows in (0, 10**9, 10**12):
+        bands = simhash.exact_bands(64, 4, rows)
+        assert rows >> min(map(len, bands)) <= 2 * simhash.CELL_MEAN
+        for _ in range(100):
+            flips = set(draw.sample(range(64), 4))
+            assert any(not flips & set(band) for band in bands)
+
+
+def test_bk_tree_finds_all_and_follows_few_edges():
+    draw = random.Random(4)
+    values = [draw.getrandbits(64) for _ in range(3_000)]
+    values += [v ^ (1 << draw.randrange(64)) for v in values[:300]]
+    tree = simhash.BKTree(values[0])
+    for v in values[1:]:
+        tree.add(v)
+    for q in values[-100:]:
+        assert sorted(tree.near(q, 4)) == sorted({v for v in values if (v ^ q).bit_count() <= 4})
+    assert tree.visited < 0.65 * 100 * len(values)
+    tree.visited = 0
+    for q in values[-100:]:
+        list(tree.near(q, 1))
+    assert tree.visited < 0.2 * 100 * len(values)
 
 
 def test_wide_simhash_finds_near_texts():
-    from corpus_pipeline import BANDS, BITS, RADIUS
+    from corpus_pipeline import BITS, RADIUS
 
-    hits = 0
+    hits, bands = 0, simhash.likely_bands(BITS, 0.8, 100_000)
     for _ in range(60):
         a = [f"w{random.randint(0, 10**6)}" for _ in range(300)]
         b = list(a)
         for k in random.sample(range(300), 5):
             b[k] = "other"
         x, y = (np.unpackbits(np.frombuffer(simhash.fingerprint(simhash.shingle_hashes(" ".join(t), 5), BITS), np.uint8)) for t in (a, b))
-        hits += (x != y).sum() <= RADIUS and any((x[band] == y[band]).all() for band in BANDS)
-    assert hits >= 57  # likeness about 0.85
+        hits += (x != y).sum() <= RADIUS and any((x[band] == y[band]).all() for band in bands)
+    assert hits >= 59  # likeness about 0.85
 
 
 @pytest.mark.parametrize("group_rows", [5, 1000])
 def test_exact_likeness_decides(spark, monkeypatch, group_rows):
-    from corpus_pipeline import BANDS, BITS, LIKENESS, RADIUS
+    from corpus_pipeline import BITS, LIKENESS, RADIUS
 
     monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
     draw, texts = random.Random(11), []
@@ -242,7 +266,7 @@ def test_exact_likeness_decides(spark, monkeypatch, group_rows):
                 b[k] = "other"
             texts.append(" ".join(b))
     texts += [texts[0], "", None, texts[1]]
-    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), words=5, bits=BITS, radius=RADIUS, bands=BANDS, likeness=LIKENESS)
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), words=5, bits=BITS, radius=RADIUS, likeness=LIKENESS)
     sets, root = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts], list(range(len(texts)))
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
@@ -251,12 +275,17 @@ def test_exact_likeness_decides(spark, monkeypatch, group_rows):
     assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(root))
 
 
-def test_candidate_bands_miss_few_at_the_radius():
-    from corpus_pipeline import BANDS, BITS, RADIUS
+@pytest.mark.parametrize("rows", [1_000, 10**6, 10**8])
+def test_candidate_bands_miss_few_at_the_likeness(rows):
+    from corpus_pipeline import BITS, LIKENESS, RADIUS
 
-    draw = np.random.default_rng(3)
-    missed = sum(not any(not flips[band].any() for band in BANDS) for flips in (draw.permutation(BITS) < RADIUS for _ in range(2_000)))
-    assert RADIUS >= 56 and missed <= 20
+    draw, bands = np.random.default_rng(3), simhash.likely_bands(BITS, LIKENESS, rows)
+    apart = np.arccos(2 * LIKENESS / (1 + LIKENESS)) / np.pi  # of such a pair, each bit differs with this chance
+    missed = 0
+    for _ in range(2_000):
+        flips = draw.random(BITS) < apart
+        missed += flips.sum() > RADIUS or all(flips[band].any() for band in bands)
+    assert missed <= 20 and rows >> len(bands[0]) <= 2 * simhash.CELL_MEAN
 
 
 def test_wide_links_tell_the_components():

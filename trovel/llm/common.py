@@ -50,7 +50,7 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b) of longs; root is the component's smallest node.
+    """(node, root) for every node of the undirected edges (a, b), of any one type that has an order; root is the component's smallest node.
 
     Large-star and small-star rounds in turn: each links a node's neighbours to the smallest of them, until only stars
     are left. A round costs two grouped minima and two joins, which AQE splits where a node has very many neighbours.

@@ -75,7 +75,7 @@ FROM d"""
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4, bands=simhash.exact_bands(64, 4))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "n_alike")
 
 

@@ -1,8 +1,9 @@
-"""SimHash near-duplicates: fingerprints, banded cells, in each cell BK-trees or wide distances followed only within the radius;
+"""SimHash near-duplicates: fingerprints, banded cells, in each cell a BK-tree whose edges are followed only within the radius;
 where a likeness is asked for, its groups are candidates only and exact Jaccard decides."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -15,6 +16,8 @@ from trovel.llm.common import batches, connected_components, cut, pick
 
 #: Distinct fingerprints of a cell that one task takes; larger cells are searched in tiles of two such blocks.
 CELL_ROWS = 50_000
+#: Rows that may share a band's bits by chance, and members from which a component has trees of its own.
+CELL_MEAN, CROWD = 64, 32
 #: Members of a candidate group whose shingles one block holds; larger groups are compared in tiles of two such blocks.
 GROUP_ROWS = 1_000
 
@@ -50,11 +53,14 @@ def fingerprint(hashes: np.ndarray, bits: int) -> bytes:
     return b"".join(out)
 
 
-def exact_bands(bits: int, radius: int) -> list[list[int]]:
-    """Bit sets such that any two fingerprints within the radius agree on all bits of one set at least: two of radius + 2
-    blocks."""
-    blocks = np.array_split(np.arange(bits), radius + 2)
-    return [[int(x) for x in np.concatenate(pair)] for pair in combinations(blocks, 2)]
+def exact_bands(bits: int, radius: int, rows: int = 0) -> list[list[int]]:
+    """Bit sets such that any two fingerprints within the radius agree on all bits of one set at least: k of radius + k blocks.
+    k grows with the rows, from 2, until the sets are so wide that CELL_MEAN rows at most share one's bits by chance."""
+    k = 2
+    while k < 6 and rows >> (k * bits // (radius + k)) > CELL_MEAN:
+        k += 1
+    blocks = np.array_split(np.arange(bits), radius + k)
+    return [[int(x) for x in np.concatenate(some)] for some in combinations(blocks, k)]
 
 
 def drawn_bands(bits: int, width: int, count: int, seed: int = 7) -> list[list[int]]:
@@ -64,13 +70,28 @@ def drawn_bands(bits: int, width: int, count: int, seed: int = 7) -> list[list[i
     return [[int(x) for x in draw.choice(bits, width, replace=False)] for _ in range(count)]
 
 
+def likely_bands(bits: int, likeness: float, rows: int, miss: float = 0.002) -> list[list[int]]:
+    """Seeded bit sets that draw together all but a share miss of the pairs of that Jaccard likeness. They are as wide as it
+    takes for CELL_MEAN rows at most to share one's bits by chance (12 to 40 bits), so cells don't grow with the rows; how many
+    there are follows from the binomial spread of the bits in which such a pair differs."""
+    width = min(40, max(12, math.ceil(math.log2(max(rows, 1) / CELL_MEAN))))
+    apart = math.acos(2 * likeness / (1 + likeness)) / math.pi
+    chance = [math.comb(bits, d) * apart**d * (1 - apart) ** (bits - d) for d in range(bits + 1)]
+    agree = [math.comb(bits - d, width) / math.comb(bits, width) for d in range(bits + 1)]
+    low, high = 0, 1 << 20
+    while high - low > 1:  # the least number that misses few enough
+        mid = (low + high) // 2
+        low, high = (low, mid) if sum(c * (1 - a) ** mid for c, a in zip(chance, agree, strict=True)) <= miss else (mid, high)
+    return drawn_bands(bits, width, high)
+
+
 class BKTree:
-    """Children keyed by their integer Hamming distance to the parent."""
+    """Children keyed by their integer Hamming distance to the parent. visited counts the nodes that searches met."""
 
-    __slots__ = ("root",)
+    __slots__ = ("root", "visited")
 
     def __init__(self, value: int):
-        self.root = (value, {})
+        self.root, self.visited = (value, {}), 0
 
     def add(self, value: int) -> None:
         node = self.root
@@ -84,41 +105,53 @@ class BKTree:
                 return
             node = child
 
-    def near(self, value: int, radius: int) -> int | None:
-        """Some value within the radius; only edges within the radius are followed."""
+    def near(self, value: int, radius: int) -> Iterator[int]:
+        """All values within the radius; only edges within the radius are followed."""
         stack = [self.root]
         while stack:
             held, children = stack.pop()
+            self.visited += 1
             d = (held ^ value).bit_count()
             if d <= radius:
-                return held
-            for k, child in children.items():
-                if d - radius <= k <= d + radius:
-                    stack.append(child)
-        return None
+                yield held
+            if len(children) <= 2 * radius:
+                stack.extend([child for k, child in children.items() if -radius <= k - d <= radius])
+            else:
+                stack.extend([child for k in range(d - radius, d + radius + 1) if (child := children.get(k)) is not None])
 
 
 def cell_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links within the radius that join the cell's values into the same components as all such links would. Each
-    component so far has trees of its own, and a search of it ends at the first value found."""
-    groups: list[list[BKTree]] = []
-    links = []
+    """Links within the radius that join the cell's distinct values into the same components as all such links would: for each
+    value one link to every component it meets. The cell's values lie in one tree. Once a component has over CROWD members,
+    further ones go to a tree of its own instead, whose search ends at the first value found, so crowds cost no more."""
+    links: list[tuple[int, int]] = []
+    parent: dict[int, int] = {}
+    size: dict[int, int] = {}
+    crowds: dict[int, list[BKTree]] = {}
+    tree = None
+
+    def root(v: int) -> int:
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
     for value in values:
-        met, rest = [], []
-        for trees in groups:
-            for tree in trees:
-                if (hit := tree.near(value, radius)) is not None:
-                    links.append((value, hit))
-                    met.append(trees)
-                    break
-            else:
-                rest.append(trees)
-        if not met:
-            groups.append([BKTree(value)])
+        met = {root(hit): hit for hit in tree.near(value, radius)} if tree else {}
+        for name, trees in crowds.items():
+            if name not in met and (hit := next((h for t in trees for h in t.near(value, radius)), None)) is not None:
+                met[name] = hit
+        links.extend((value, hit) for hit in met.values())
+        parent[value], size[value] = value, 1 + sum(size.pop(name) for name in met)
+        own = [t for name in met for t in crowds.pop(name, ())]
+        parent.update(dict.fromkeys(met, value))
+        if size[value] > CROWD:
+            if own:
+                own[0].add(value)
+            crowds[value] = own or [BKTree(value)]
+        elif tree:
+            tree.add(value)
         else:
-            met[0][0].add(value)
-            if len(met) > 1:
-                groups = [*rest, [t for trees in met for t in trees]]
+            tree = BKTree(value)
     return links
 
 
@@ -179,11 +212,9 @@ def _search(cells: DataFrame, find: Callable[[list[bytes]], list[tuple[bytes, by
     """cells (key, fp), sorted by key in each partition, to links (a, b); cells of over most rows come back as (key, a)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: int, fps: list[bytes]) -> None:
-            if most is not None and len(fps) > most:
-                out.extend((key, fp, None) for fp in fps)
-            elif len(fps) > 1:
-                out.extend((None, a, b) for a, b in find(fps))
+        def done() -> None:
+            if len(open_fps) > 1 and not large:
+                out.extend((None, a, b) for a, b in find(open_fps))
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -191,7 +222,7 @@ def _search(cells: DataFrame, find: Callable[[list[bytes]], list[tuple[bytes, by
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], names=["key", "a", "b"])
 
         out: list[tuple] = []
-        open_key, open_fps = None, []
+        open_key, open_fps, large = None, [], False
         for batch in source:
             if not batch.num_rows:
                 continue
@@ -199,13 +230,16 @@ def _search(cells: DataFrame, find: Callable[[list[bytes]], list[tuple[bytes, by
             edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for a, b in zip(edges, edges[1:]):
                 if keys[a] != open_key:
-                    done(open_key, open_fps)
-                    open_key, open_fps = int(keys[a]), []
-                if b - a > 1 or b == len(keys) or open_fps:
+                    done()
+                    open_key, open_fps, large = int(keys[a]), [], False
+                if b - a > 1 or b == len(keys) or open_fps or large:
                     open_fps.extend(fps.slice(a, b - a).to_pylist())
+                if most is not None and (large or len(open_fps) > most):  # no more than that is held, however large the cell
+                    out.extend((open_key, fp, None) for fp in open_fps)
+                    open_fps, large = [], True
             if len(out) > 50_000:
                 yield flush()
-        done(open_key, open_fps)
+        done()
         yield flush()
 
     return cells.mapInArrow(run, "key long, a binary, b binary")
@@ -226,7 +260,7 @@ def near_links(prints: DataFrame, bands: list[list[int]], radius: int, links_of:
             bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
             for k, band in enumerate(bands):
                 key = bits[:, band].astype(np.int64) @ (np.int64(1) << np.arange(len(band), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(k) << np.int64(40)), fps], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key | np.int64(k) << np.int64(42)), fps], names=["key", "fp"])
 
     cells = prints.select("fp").mapInArrow(keyed, "key long, fp binary").repartition("key").sortWithinPartitions("key")
     found = cut(_search(cells, find, cell_rows))
@@ -278,17 +312,17 @@ def verified_links(own: DataFrame, groups: DataFrame, *, words: int, bits: int,
     return tiles.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, bands: list[list[int]], likeness: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, likeness: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (binary, big-endian), component_id (the smallest doc_id reached through links within the radius), n_alike
     (rows of the component) for every row.
 
     With a likeness, fingerprints are those of distinct shingles, links within the radius only draw candidates together, and
     a link holds if the exact Jaccard likeness of two texts' shingles is at least that much.
 
-    Rows are first drawn together by fingerprint, so copies cost one row. A null or empty text has fingerprint zero and is
-    linked like any other; texts of fewer words than a shingle have one shingle; null ids count as the largest; repeated
-    rows stay; no rows yield none; other columns are ignored. Components are found over distinct fingerprints, by a hash
-    of 64 bits where those are longer.
+    Rows are first drawn together by fingerprint, so copies cost one row. Bands are as wide as the number of distinct
+    fingerprints asks (exact_bands, likely_bands). A null or empty text has fingerprint zero and is linked like any other; texts
+    of fewer words than a shingle have one shingle; null ids count as the largest; repeated rows stay; no rows yield none; other
+    columns are ignored.
     """
     own = pick(docs, doc_id=id_col, text=text_col)
 
@@ -299,16 +333,18 @@ def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, band
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
     prints = cut(own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, fp binary"))
-    node = F.conv(F.hex("fp"), 16, -10).cast("long") if bits == 64 else F.xxhash64("fp")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    links = near_links(classes, bands, radius, tree_links if likeness is None else wide_links)
-    name = lambda c: F.conv(F.hex(c), 16, -10).cast("long") if bits == 64 else F.xxhash64(c)
-    roots = connected_components(links.select(name("a").alias("a"), name("b").alias("b")))
+    rows = classes.count()
+    if likeness is None:
+        links = near_links(classes, exact_bands(bits, radius, rows), radius)
+    else:
+        links = near_links(classes, likely_bands(bits, likeness, rows), radius, wide_links)
+    roots = connected_components(links).withColumnRenamed("node", "fp")
     if likeness is not None:
-        groups = cut(classes.withColumn("node", node).join(roots, "node").select("fp", "first_id", "root"))
+        groups = cut(classes.join(roots, "fp").select("fp", "first_id", "root"))
         links = cut(verified_links(own, groups, words=words, bits=bits, radius=radius, likeness=likeness))
-        roots = connected_components(links.select(name("a").alias("a"), name("b").alias("b")))
-    linked = classes.withColumn("node", node).join(roots, "node")
+        roots = connected_components(links).withColumnRenamed("node", "fp")
+    linked = classes.join(roots, "fp")
     groups = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("n_alike"))
     linked = linked.join(groups, "root").select("fp", "component_id", "n_alike")
     alone = classes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"), F.col("n").alias("n_alike"))
