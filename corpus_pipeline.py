@@ -10,10 +10,10 @@ from trovel.llm import mixing, packing, quality, simhash, tokens, toxicity
 from trovel.llm.common import cut, shared_dir
 from trovel.llm.queries import MIX_WEIGHTS, source_tree, toxic_index, words_in
 
-#: Five-word shingles, 256 bits, for candidates only: at a Jaccard likeness of 0.8 about 15 % of the bits (38) differ, with a
-#: spread of 5.7 bits, so the radius lies three spreads above. 104 drawn bands of 12 bits miss 0.4 % of pairs at the radius,
-#: fewer of nearer ones. Exact likeness of LIKENESS or more then decides.
-BITS, RADIUS, BANDS, LIKENESS = 256, 56, simhash.drawn_bands(256, 12, 104), 0.8
+#: Five-word shingles, 256 bits, for candidates only: at a Jaccard likeness of 0.8 about 15 % of the bits (39) differ, with a
+#: spread of 5.7 bits, so the radius lies three spreads above; the bands that draw pairs together miss 0.2 % at 0.8, fewer of
+#: nearer ones. Exact likeness of LIKENESS or more then decides.
+BITS, RADIUS, LIKENESS = 256, 56, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of exact copies and texts of LIKENESS or more, the one of the smallest doc_id; of rows that repeat an id
     and its text, one. Rows without an id stay, as nothing tells them apart."""
-    found = cut(simhash.near_duplicates(docs, words=5, bits=BITS, radius=RADIUS, bands=BANDS, likeness=LIKENESS))
+    found = cut(simhash.near_duplicates(docs, words=5, bits=BITS, radius=RADIUS, likeness=LIKENESS))
     rest = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
