@@ -375,38 +375,81 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df, empty).collect()} == {0.0}
 
 
-def test_share_and_budgets():
+def tree_budgets(available, weights, total, epochs):
+    """Tokens of leaves by recursion: what the level-by-level plan must give."""
+    given = {}
+
+    def deal(at, leaves, tokens):
+        if leaves == [at]:
+            given[at] = tokens
+            return
+        below = defaultdict(list)
+        for leaf in leaves:
+            below[leaf[: len(at) + 1]].append(leaf)
+        hold = {k: epochs * sum(available[x] for x in v) for k, v in below.items()}
+        for k, n in mixing.share(tokens, hold, {k: float(weights.get(k, 1.0)) for k in below}).items():
+            deal(k, below[k], n)
+
+    if available:
+        deal((), sorted(available), total)
+    return given
+
+
+def test_share_and_budgets(spark):
     assert mixing.share(10, {"a": 2, "b": 50, "c": 50}, {"a": 1, "b": 1, "c": 3}) == {"a": 2, "b": 2, "c": 6}
     assert mixing.share(100, {"a": 3, "b": 4}, {"a": 1, "b": 1}) == {"a": 3, "b": 4} and mixing.share(5, {}, {}) == {}
     have = {("p", "x"): 10, ("p", "y"): 100, ("q", "z"): 100}
-    plan = {b.leaf: b for b in mixing.budgets(have, {("q",): 1.0}, 100, 1)}
-    assert [plan[k].tokens for k in sorted(have)] == [10, 40, 50]  # x's shortage goes to y, its sibling
-    plan = {b.leaf: b for b in mixing.budgets({("p", "x"): 10, ("q", "z"): 100}, {}, 100, 2)}
-    assert plan[("p", "x")].full == 2 and plan[("q", "z")].tokens == 80  # a whole branch's shortage goes to the next
-
-
-def test_mix_against_brute_force(spark):
-    rows = [(i, random.choice("ab"), random.choice(["u", None]), random.choice([0, 3, 7, None])) for i in range(400)]
+    assert tree_budgets(have, {("q",): 1.0}, 100, 1) == {("p", "x"): 10, ("p", "y"): 40, ("q", "z"): 50}  # x's shortage goes to y, its sibling
+    assert tree_budgets({("p", "x"): 10, ("q", "z"): 100}, {}, 100, 2) == {("p", "x"): 20, ("q", "z"): 80}  # a whole branch's shortage goes to the next
+    draw = random.Random(8)
+    have = {(a, b, c): draw.randint(0, 40) for a in "pqr" for b in "uv" for c in ["", 's"1', "é"] if draw.random() < 0.8}
+    weights = {("p",): 3.0, ("q", "u"): 0.5, ("r", "v", "é"): 4.0, ("q", "v"): 0.0}
+    totals = spark.createDataFrame([(list(k), n) for k, n in have.items()], "mix_leaf array<string>, n long")
+    for total in (0, 150, 500, 10_000):
+        assert {tuple(r.mix_leaf): r.tokens for r in mixing.budgets(totals, 3, weights, total, 2).collect()} == tree_budgets(have, weights, total, 2)
+
+
+@pytest.mark.parametrize("range_rows", [1, 256])
+def test_mix_against_brute_force(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    draw = random.Random(6)
+    rows = [(i, draw.choice("ab"), draw.choice(["u", None]), draw.choice([0, 3, 7, None])) for i in range(400)] + [(5, "a", "u", 3)] * 4 + [(None, "a", "u", 7)] * 3 + [(900, None, "w", 0)]
     df = spark.createDataFrame(rows, "doc_id long, d string, s string, n long").withColumn("range", F.lit("r")).withColumn("mix_epoch", F.lit(9)).repartition(3)
     found = mixing.mix(df, levels=[F.col("d"), F.col("s")], tokens=F.col("n"), key=F.col("doc_id"), total=900, weights={("a",): 3.0}, epochs=2, seed=1)
-    got = Counter((r.doc_id, r.mix_epoch) for r in found.collect())
+    got = Counter((r.doc_id, r.d, r.s, r.mix_epoch) for r in found.collect())
     leaves = defaultdict(list)
-    for i, d, s, n in rows:
-        leaves[(d, s or "")].append((i, n or 0))
-    want = Counter()
-    for b in mixing.budgets({k: sum(n for _, n in v) for k, v in leaves.items()}, {("a",): 3.0}, 900, 2):
-        for e in range(b.full):
-            want.update((i, e) for i, _ in leaves[b.leaf])
-        upto = 0
-        for i, n in sorted(leaves[b.leaf], key=lambda x: hashlib.md5(f"1:{b.full}:{x[0]}".encode()).hexdigest()) if b.rest else []:
-            upto += n
-            if upto > b.rest:
+    for row in rows:
+        leaves[(row[1] or "", row[2] or "")].append(row)
+    have, want = {k: sum(r[3] or 0 for r in v) for k, v in leaves.items()}, Counter()
+    for leaf, given in tree_budgets(have, {("a",): 3.0}, 900, 2).items():
+        full, rest = divmod(given, have[leaf]) if have[leaf] else (0, 0)
+        for e in range(full):
+            want.update((r[0], r[1], r[2], e) for r in leaves[leaf])
+        keys, upto = defaultdict(list), 0
+        for r in leaves[leaf] if rest else []:
+            keys[hashlib.md5(f"1:{full}:{'' if r[0] is None else r[0]}".encode()).hexdigest()].append(r)
+        for _, same in sorted(keys.items()):
+            upto += sum(r[3] or 0 for r in same)
+            if upto > rest:
                 break
-            want[(i, b.full)] += 1
-    assert got == want
+            want.update((r[0], r[1], r[2], full) for r in same)
+    assert got == want and len(want) > 100
     assert mixing.mix(df.limit(0), levels=[F.col("d")], tokens=F.col("n"), key=F.col("doc_id"), total=0.5).count() == 0
 
 
+def test_mix_counts_tokens(spark, tmp_path):
+    import sentencepiece
+
+    from trovel.llm import queries
+
+    texts = [None, "", " ", "one two", "nine " * 50, *[f"text {i} of a source" for i in range(40)]]
+    spark.createDataFrame([(i, t, "en", "src1") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    found = queries.op9_source_mix(spark, str(tmp_path)).collect()
+    assert found and all(r.mix_tokens == len(lib.encode(texts[r.doc_id] or "")) for r in found)
+    assert 0.7 < sum(r.mix_tokens for r in found) / sum(len(lib.encode(t or "")) for t in texts) <= 0.8
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 

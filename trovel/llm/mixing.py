@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import json
 from collections.abc import Mapping
-from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trovel.llm.common import cut
 
-#: Leaves that a tree may have; budgets are worked out on the driver, a row a leaf.
-LEAVES = 100_000
-#: Ranges of the shuffled order of a leaf. Only the range in which its budget ends is read in order.
-RANGES = 4_096
-
-
-@dataclass(frozen=True)
-class Budget:
-    """What a leaf gets: all its documents `full` times over, then the first `rest` tokens of the epoch after."""
-
-    leaf: tuple
-    available: int
-    tokens: int
-    full: int
-    rest: int
+#: Rows of a leaf's order that a window reads; while the range in which a budget ends holds more, it is split by 256.
+RANGE_ROWS = 256
+#: Leaves up to which their cuts, about 100 bytes each, are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_LEAVES = 100_000
 
 
 def share(total: int, capacity: dict, weight: dict) -> dict:
@@ -51,63 +41,88 @@ def share(total: int, capacity: dict, weight: dict) -> dict:
     return given
 
 
-def budgets(available: Mapping[tuple, int], weights: Mapping[tuple, float], total: int, epochs: int) -> list[Budget]:
-    """Budgets of leaves (paths) with so many tokens available. weights: of nodes by path, 1 where none is given. A node's
-    tokens are dealt among its children, which hold at most epochs times what they have; so a child's shortage goes to its
-    siblings first, and to its parent's siblings only if they are all full."""
-    given: dict[tuple, int] = {}
+def budgets(totals: DataFrame, depth: int, weights: Mapping[tuple, float], total: int, epochs: int) -> DataFrame:
+    """mix_leaf, n, tokens for leaves (mix_leaf, an array of depth names) with n tokens available. weights: of nodes by path, 1
+    where none is given. A node's tokens are dealt among its children, which hold at most epochs times what they have; so a
+    child's shortage goes to its siblings first, and to its parent's siblings only if they are all full.
 
-    def deal(at: tuple, leaves: list[tuple], tokens: int) -> None:
-        if len(leaves) == 1 and len(leaves[0]) == len(at):
-            given[at] = tokens
-            return
-        below = defaultdict(list)
-        for leaf in leaves:
-            below[leaf[: len(at) + 1]].append(leaf)
-        hold = {k: epochs * sum(available[x] for x in v) for k, v in below.items()}
-        for k, n in share(tokens, hold, {k: float(weights.get(k, 1.0)) for k in below}).items():
-            deal(k, below[k], n)
-
-    if available:
-        deal((), sorted(available), total)
-    return [Budget(k, available[k], n, n // available[k] if available[k] else 0, n % available[k] if available[k] else 0) for k, n in sorted(given.items())]
+    Level by level from the root; a node's children meet in one task, as a name and two numbers each, so the tree may be of
+    any size and none of it passes the driver.
+    """
+    at = lambda d: F.to_json(F.slice("mix_leaf", 1, d)) if d else F.lit("[]")
+
+    def deal(children: pd.DataFrame) -> pd.DataFrame:
+        hold = dict(zip(children.path, (int(x) for x in children.hold), strict=True))
+        weight = {k: float(weights.get(tuple(json.loads(k)), 1.0)) for k in hold}
+        given = share(int(children.given.iloc[0]), hold, weight)
+        return pd.DataFrame({"parent": list(given), "given": list(given.values())}, columns=["parent", "given"])
+
+    spark = totals.sparkSession
+    given = spark.createDataFrame([("[]", total)], "parent string, given long")
+    for d in range(1, depth + 1):
+        nodes = totals.groupBy(at(d).alias("path"), at(d - 1).alias("parent")).agg((F.sum("n") * epochs).cast("long").alias("hold"))
+        given = nodes.join(given, "parent").groupBy("parent").applyInPandas(deal, "parent string, given long")
+    return totals.withColumn("parent", at(depth)).join(given, "parent").select("mix_leaf", "n", F.col("given").alias("tokens"))
+
+
+def _order(seed: int, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), "mix_key"))
+
+
+def cuts(rows: DataFrame, depth: int, *, total: int | float, weights: Mapping[tuple, float], epochs: int, seed: int) -> DataFrame:
+    """mix_leaf, full, last: of each leaf of rows (mix_leaf, mix_key, mix_tokens), the epochs it gives whole, and up to which
+    place of the order of the epoch after it gives rows (null: none)."""
+    totals = cut(rows.groupBy("mix_leaf").agg(F.sum("mix_tokens").alias("n")))
+    there = totals.agg(F.sum("n")).first()[0] or 0
+    plan = budgets(totals, depth, weights, int(total * there) if isinstance(total, float) else total, epochs)
+    plan = cut(plan.select("mix_leaf", F.expr("if(n > 0, tokens div n, 0)").cast("int").alias("full"), F.expr("if(n > 0, tokens % n, 0)").alias("rest")))
+    ordered = rows.join(plan.where("rest > 0"), "mix_leaf").select("mix_leaf", "rest", "mix_tokens", _order(seed, F.col("full")).alias("mix_order"))
+    ends = plan.where("rest > 0").select("mix_leaf", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for digits in range(2, 33, 2):
+        inside = ordered.join(ends, "mix_leaf").where("startswith(mix_order, prefix)")
+        sums = inside.groupBy("mix_leaf", "rest", "before", F.substring("mix_order", 1, digits).alias("prefix")).agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows"))
+        upto = sums.withColumn("upto", F.expr("before + sum(n) OVER (PARTITION BY mix_leaf ORDER BY prefix)")).where("upto > rest")  # at most 256 rows a leaf
+        ends = cut(upto.groupBy("mix_leaf").agg(F.min(F.struct("prefix", (F.col("upto") - F.col("n")).alias("before"), "rows")).alias("end")).select("mix_leaf", "end.*"))
+        if (ends.agg(F.max("rows")).first()[0] or 0) <= RANGE_ROWS:
+            break
+    single = ordered.join(ends, "mix_leaf").where("startswith(mix_order, prefix)").groupBy("mix_leaf", "rest", "before", "mix_order").agg(F.sum("mix_tokens").alias("n"))
+    fits = single.withColumn("upto", F.expr("before + sum(n) OVER (PARTITION BY mix_leaf ORDER BY mix_order)")).where("upto <= rest").groupBy("mix_leaf").agg(F.max("mix_order").alias("best"))
+    last = ends.join(fits, "mix_leaf", "left").select("mix_leaf", F.coalesce("best", "prefix").alias("last"))
+    return cut(plan.join(last, "mix_leaf", "left").select("mix_leaf", "full", "last"))
+
+
+def tree_leaf(levels: list[Column]) -> Column:
+    return F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in levels])
+
+
+def tree_rows(docs: DataFrame, levels: list[Column], tokens: Column, key: Column) -> DataFrame:
+    """mix_leaf, mix_key, mix_tokens of docs: what cuts() reads, without their other columns."""
+    n = F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    return docs.select(tree_leaf(levels).alias("mix_leaf"), F.coalesce(key.cast("string"), F.lit("")).alias("mix_key"), n.alias("mix_tokens"))
+
+
+def apply(docs: DataFrame, found: DataFrame, *, levels: list[Column], key: Column, seed: int = 17) -> DataFrame:
+    """docs with mix_epoch (from 0) and mix_leaf added: the rows that the cuts found choose, once an epoch. Each row is judged
+    alone, by its leaf's cut; texts are neither counted again nor shuffled while the leaves are few enough to be broadcast."""
+    known = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
+    rows = docs.select(*known, tree_leaf(levels).alias("mix_leaf"), F.coalesce(key.cast("string"), F.lit("")).alias("mix_key"))
+    found = F.broadcast(found) if found.count() <= BROADCAST_LEAVES else found
+    rows = rows.join(found, "mix_leaf").withColumn("mix_upto", F.col("full") + F.coalesce((_order(seed, F.col("full")) <= F.col("last")).cast("int"), F.lit(0)))
+    rows = rows.where("mix_upto > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_upto") - 1)))
+    return rows.select(*known, "mix_epoch", "mix_leaf")
 
 
 def mix(docs: DataFrame, *, levels: list[Column], tokens: Column, key: Column, total: int | float, weights: Mapping[tuple, float] | None = None, epochs: int = 2, seed: int = 17) -> DataFrame:
-    """docs, all their columns, with mix_epoch (from 0), mix_tokens and mix_leaf added: the chosen rows, once an epoch.
+    """docs, all their columns, with mix_epoch (from 0) and mix_leaf added: the chosen rows, once an epoch.
 
     levels: the tree's levels from the root, as text, null as ''. tokens: a row's tokens; null and negative count as 0.
-    key: a text that tells rows apart; rows of one key are in the order of their tokens, and those alike in all of this are
-    chosen or left together. total: tokens to choose, or the share of all there are if a fraction (float). In each epoch a
-    leaf's order is that of md5(seed, epoch, key), and the last, partial, epoch ends before the first row that would pass
-    its budget. Rows of 0 tokens come with whatever they stand beside. No rows yield none. Columns named mix_* are replaced.
+    key: a text that tells rows apart; rows of one key are chosen or left together. total: tokens to choose, or the share of
+    all there are if a fraction (float). In each epoch a leaf's order is that of md5(seed, epoch, key), and the last, partial,
+    epoch ends before the first key that would pass its budget. Rows of 0 tokens come with whatever they stand beside; a leaf
+    of no tokens gives none. No rows yield none. Columns named mix_* are replaced.
 
-    Ordering costs no global sort: tokens are summed by leaf and range of the order, and only the rows of the one range in
-    which a budget ends meet in a window, 1/4,096 of a leaf.
+    Ordering costs no global sort: a leaf, its key and its tokens are written once; from them the place where a leaf's budget
+    ends is found by sums over 256 ranges of the order, then 256 of the one range in which it ends, and so on.
     """
-    known = [c for c in docs.columns if not c.startswith("mix_")]
-    leaf = F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in levels])
-    rows = docs.select(*[F.col(f"`{c}`") for c in known], leaf.alias("mix_leaf"), F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("mix_tokens"), F.coalesce(key.cast("string"), F.lit("")).alias("mix_key"))
-    totals = rows.groupBy("mix_leaf").agg(F.sum("mix_tokens").alias("n")).limit(LEAVES + 1).collect()
-    if len(totals) > LEAVES:
-        raise ValueError(f"more than {LEAVES} leaves")
-    available = {tuple(r.mix_leaf): r.n for r in totals}
-    wanted = int(total * sum(available.values())) if isinstance(total, float) else total
-    plan = budgets(available, weights or {}, wanted, epochs)
-    spark = docs.sparkSession
-    planned = spark.createDataFrame([(list(b.leaf), b.full, b.rest) for b in plan], "mix_leaf array<string>, full int, rest long")
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), "mix_key"))
-    dealt = rows.join(F.broadcast(planned), "mix_leaf").withColumn("mix_order", order).withColumn("range", F.conv(F.substring("mix_order", 1, 3), 16, 10).cast("int"))
-    # The range in which each leaf's budget ends, and the tokens before it.
-    sums = dealt.where("rest > 0").groupBy("mix_leaf", "rest", "range").agg(F.sum("mix_tokens").alias("n")).selectExpr("mix_leaf", "rest", "range", "n")
-    before = F.expr("sum(n) OVER (PARTITION BY mix_leaf ORDER BY range) - n")
-    ends = sums.withColumn("before", before).where("before <= rest AND before + n > rest").groupBy("mix_leaf").agg(F.min(F.struct("range", "before")).alias("end"))
-    ends = spark.createDataFrame([(r.mix_leaf, r.end.range, r.end.before) for r in ends.collect()], "mix_leaf array<string>, end_range int, end_before long")  # a row a leaf
-    dealt = dealt.join(F.broadcast(ends), "mix_leaf", "left")
-    out = [F.col(f"`{c}`") for c in known]
-    whole = dealt.where("full > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1)))
-    sure = dealt.where("rest > 0 AND range < end_range").withColumn("mix_epoch", F.col("full"))
-    last = dealt.where("rest > 0 AND range = end_range")
-    last = last.withColumn("upto", F.expr("sum(mix_tokens) OVER (PARTITION BY mix_leaf ORDER BY mix_order, mix_tokens) + end_before")).where("upto <= rest").withColumn("mix_epoch", F.col("full"))
-    cols = [*out, "mix_epoch", "mix_tokens", "mix_leaf"]
-    return whole.select(*cols).unionByName(sure.select(*cols)).unionByName(last.select(*cols))
+    rows = cut(tree_rows(docs, levels, tokens, key))
+    return apply(docs, cuts(rows, len(levels), total=total, weights=weights or {}, epochs=epochs, seed=seed), levels=levels, key=key, seed=seed)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovel.llm import langid, lz_print, mixing, packing, quality, simhash, tokens, toxicity, url_filter, warc
-from trovel.llm.common import table
+from trovel.llm.common import cut, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,14 +127,11 @@ def source_tree() -> list[F.Column]:
     return [F.when(F.col("source").isin(FORUMS), "forum").when(F.col("source").isin(NEWS), "news").otherwise("web"), F.col("lang"), F.col("source")]
 
 
-def words_in(text: str = "text") -> F.Column:
-    return F.size(F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")), " +"))
-
-
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, levels=source_tree(), tokens=words_in(), key=F.col("doc_id"), total=0.8, weights=MIX_WEIGHTS, epochs=2)
-    return mixed.select("doc_id", "mix_epoch", "mix_tokens", F.col("mix_leaf")[0].alias("domain"), "lang", "source")
+    counted = cut(tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), extra=["lang", "source"]))
+    mixed = mixing.mix(counted, levels=source_tree(), tokens=F.col("n_tokens"), key=F.col("doc_id"), total=0.8, weights=MIX_WEIGHTS, epochs=2)
+    return mixed.select("doc_id", "mix_epoch", F.col("n_tokens").alias("mix_tokens"), F.col("mix_leaf")[0].alias("domain"), "lang", "source")
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc, op3_lz_fingerprints, op4_language_id, op5_url_filters, op6_simhash_near_dedup, op7_quality_rules, op8_toxicity, op9_source_mix, op10_token_counts)}

@@ -8,11 +8,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trovel.llm.common import batches, pick
 
-#: Entries of the younger half of a worker's cache of word forms; bounds its memory, never changes a result.
-CACHE = 400_000
+#: Entries of the younger half of a worker's cache of word forms, and the longest form that is kept (others, such as lines
+#: without spaces, are worked out anew): 2 x 400,000 x 64 code points at most. Bounds memory, never changes a result.
+CACHE, LONGEST = 400_000, 64
 
 #: Code points that Python and the tokenizer's own pattern may not agree on as white space.
 _ODD = b"\x1c\x1d\x1e\x1f\x85\xa0"
@@ -29,6 +31,8 @@ class Cache(dict):
     def __missing__(self, key: str):
         if (value := self.older.get(key)) is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
@@ -174,19 +178,22 @@ def token_pieces(docs: DataFrame, path: str, *, max_len: int, end_id: int = 0, i
     return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, piece int, start long, length long, ids binary")
 
 
-def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every whole text, as the sentencepiece library counts it.
+def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", extra: list[str] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of every whole text, as the sentencepiece library counts it, and the columns named as extra.
 
-    Null and empty texts have 0 of both; a null id is carried along; repeated rows stay; other columns are ignored.
+    Null and empty texts have 0 of both; a null id is carried along; repeated rows stay; no rows yield none; other columns are
+    ignored.
     """
     whole, by_word, by_mark = whole_tokens(path), unsplittable(path), marks_apart(path)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([id_col, text_col, *extra])])
+    names = ["c0", "n_bytes", "n_tokens", *own.columns[2:]]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = loaded(WordCounts, path, whole, by_word, by_mark)
         for batch in batches(source, 500):
             texts = batch.column(1).to_pylist()
             sizes = [len(t.encode()) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([words.count(t) if t else 0 for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array([words.count(t) if t else 0 for t in texts], pa.int64()), *batch.columns[2:]], names=names)
 
-    own = pick(docs, doc_id=id_col, text=text_col)
-    return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_bytes long, n_tokens long")
+    rest = "".join(f", {c} {k}" for c, k in own.dtypes[2:])
+    return own.mapInArrow(run, f"c0 {own.dtypes[0][1]}, n_bytes long, n_tokens long{rest}").toDF("doc_id", "n_bytes", "n_tokens", *extra)
