@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trovel.llm import mixing, packing, quality, simhash, tokens, toxicity
 from trovel.llm.common import cut, shared_dir
-from trovel.llm.queries import MIX_WEIGHTS, source_tree, toxic_index, words_in
+from trovel.llm.queries import MIX_WEIGHTS, source_tree, toxic_index
 
 #: Five-word shingles, 256 bits, for candidates only: at a Jaccard likeness of 0.8 about 15 % of the bits (39) differ, with a
 #: spread of 5.7 bits, so the radius lies three spreads above; the bands that draw pairs together miss 0.2 % at 0.8, fewer of
@@ -41,9 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Chooses four fifths of the words by the weights of domains, languages and sources, each document at most once."""
-    mixed = mixing.mix(docs, levels=source_tree(), tokens=words_in(), key=F.col("doc_id"), total=0.8, weights=MIX_WEIGHTS, epochs=1)
-    return mixed.select(*docs.columns)
+    """Chooses four fifths of the tokens by the weights of domains, languages and sources, each document at most once. Null
+    and empty texts have no tokens; rows of one doc_id (nulls too) are chosen or left together; no rows yield none."""
+    levels, key = source_tree(), F.col("doc_id")
+    counted = tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), extra=["lang", "source"])
+    rows = cut(mixing.tree_rows(counted, levels, F.col("n_tokens"), key))
+    found = mixing.cuts(rows, len(levels), total=0.8, weights=MIX_WEIGHTS, epochs=1, seed=17)
+    return mixing.apply(docs, found, levels=levels, key=key, seed=17).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
