@@ -101,9 +101,11 @@ def test_index_of_many_blocks(spark, tmp_path, monkeypatch):
 
 
 def test_lz_prints(spark, docs):
-    for rows in (3, 1000):
+    nulls = [(None, r.text) for r in docs.sparkSession.createDataFrame([("no id",), ("no id either",)], "text string").orderBy(F.xxhash64("text").desc()).collect()]
+    docs = docs.unionByName(docs.where("doc_id IS NULL").withColumn("text", F.lit("no id either")))
+    for rows in (1, 3, 1000):
         found = lz_print.edited_likeness(docs, range_rows=rows).collect()
-        order = sorted([(i, t) for i, t in enumerate(TEXTS)] + [(3, "one")], key=lambda x: -x[0]) + [(None, "no id")]
+        order = sorted([(i, t) for i, t in enumerate(TEXTS)] + [(3, "one")], key=lambda x: -x[0]) + nulls
         assert len(found) == len(order)
         want = Counter()
         for k, (i, t) in enumerate(order):
@@ -120,6 +122,7 @@ def test_lz_phrases_are_lz78():
 
     for t in TEXTS:
         parts, seen, at = lz_print.symbols(t or ""), set(), ()
+        assert "".join(parts) == "".join((t or "").split()) and max(map(len, parts), default=0) <= 8
         for s in parts:
             at += (s,)
             if at not in seen:
@@ -143,6 +146,33 @@ def test_language(spark):
     assert {r.language for r in langid.identify(pages, none).collect()} == {None}
 
 
+def test_posterior_against_brute_force(spark):
+    draw = random.Random(12)
+    train = spark.createDataFrame([(i, t, x) for i in range(5) for t, x in (("the house of the king and the queen", "en"), ("la maison de la reine et du roi", "fr"), ("das haus der königin und des königs", "de"))], "doc_id long, text string, lang string")
+    model = langid.fit_text(train)
+    bits = ["the king", "la reine", "der könig", "42", ""]  # the last two say nothing: only the other evidence tells
+    rows = [(i, f"http://h{draw.randint(0, 5)}.{draw.choice(['a', 'b'])}.{draw.choice(['fr', 'de', 'com'])}/{i}" if i % 7 else draw.choice([None, "odd"]), draw.choice(["", '<html lang="fr">', "<html lang='de-AT'>"]) + draw.choice(bits)) for i in range(120)] + [(4, "http://h1.a.fr/x", "la"), (None, None, None)]
+    found = langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("z")).repartition(4), model).collect()
+    seen = []
+    for i, url, html in rows:
+        ll = np.array(model.loglik(langid.visible(html or "")))
+        said = langid._LANG.search(html or "")
+        seen.append((i, *langid.host_parts(url), said[1].lower() if said else "", ll, np.exp(ll) / np.exp(ll).sum()))
+    total = lambda k, x: sum(r[6] for r in seen if r[k] == x)
+    everything = sum(r[6] for r in seen)
+    prior = (everything + 1) / (everything.sum() + 3)
+    smooth = lambda n, q: (n + langid.PRIOR * q) / (n.sum() + langid.PRIOR)
+    weigh = lambda k, x: np.ones(3) if x == "" else (total(k, x) + langid.TABLE) / (everything + langid.TABLE * len({r[k] for r in seen}))
+    want = Counter()
+    for i, host, domain, suffix, declared, ll, _ in seen:
+        q = smooth(total(1, host), smooth(total(2, domain), smooth(total(3, suffix), prior)))
+        score = ll + np.log(q) + np.log(weigh(4, declared)) + np.log(weigh(3, suffix))
+        p = np.exp(score - score.max())
+        want[(i, model.languages[int(p.argmax())], round(float(p.max() / p.sum()), 8), declared, host)] += 1
+    assert Counter((r.page_id, r.language, round(r.posterior, 8), r.declared, r.host) for r in found) == want
+    assert len({x[1] for x in want}) == 3
+
+
 def test_every_labelled_language_is_fitted(spark):
     words = lambda k: " ".join(f"{chr(0x4E00 + 50 * k + i)}{chr(0x4E01 + 50 * k + i)}{chr(0x4E02 + 50 * k + i)}" for i in range(20))
     train = spark.createDataFrame([(100 * k + i, words(k), f"l{k:02}") for k in range(70) for i in range(2 if k else 1)], "doc_id long, text string, lang string")

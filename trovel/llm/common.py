@@ -17,15 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver share: spark.checkpoint.dir. One of our own is set only where the session
-    names none, as in tests."""
+    names none and all runs on this machine, as in tests; on a cluster without that setting, an error tells so."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='trovel-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store with all that is in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint in the shared folder: what follows neither repeats the work above nor
     depends on the executors that did it."""

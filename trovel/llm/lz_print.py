@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,18 +16,16 @@ from trovel.llm.common import batches, pick
 
 #: Smallest hashes that a fingerprint keeps.
 KEPT = 128
-#: Longest run of code points without white space that counts as one symbol; longer ones are symbols code point by code point.
-LONGEST = 24
-#: Rows that one task of the ordered pass gets, about.
-RANGE_ROWS = 1_024
+#: Rows that one task of the ordered pass gets, about, and the most ranges there are.
+RANGE_ROWS, RANGES = 1_024, 4_096
+
+#: Symbols: runs without white space, in pieces of at most 8 code points, so that texts without spaces have phrases too.
+_SYMBOL = re.compile(r"\S{1,8}")
 
 
 def symbols(text: str) -> list[str]:
-    """What phrases are made of: runs without white space, and the code points of very long ones."""
-    found = text.split()
-    if len(text) > LONGEST * (len(found) + 1) or max(map(len, found), default=0) > LONGEST:
-        return [s for w in found for s in ([w] if len(w) <= LONGEST else w)]
-    return found
+    """What phrases are made of."""
+    return _SYMBOL.findall(text)
 
 
 class Parse:
@@ -107,22 +107,26 @@ def same_start(a: str, b: str) -> int:
 
 
 def in_ranges(docs: DataFrame, rows: int) -> DataFrame:
-    """docs (doc_id, text) with part, descending ranges of doc_id of about so many rows, and seam: true for a copy of the
-    first row of the next range, which ends each range (of the first range, for the last). Nulls come last.
+    """docs (doc_id, text, hash) with part, descending ranges of doc_id of about so many rows (more, if that makes over RANGES),
+    and seam: true for a copy of the first row of the next range, which ends each range (of the first range, for the last).
+    Nulls come last, in ranges of their hash.
 
-    The ranges' bounds are quantiles of the id column, and the seams its largest values by range: one row a range, the only
-    rows that reach the driver.
+    The ranges' bounds are quantiles of the id column, looked up in two steps (a group of bounds, then one of the group), and
+    the seams are each range's largest row: at most RANGES rows reach the driver.
     """
-    total = docs.count()
-    parts = max(1, -(-total // rows))
-    known = docs.where("doc_id IS NOT NULL")
-    bounds = sorted(set(known.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []), reverse=True)
-    part = F.lit(len(bounds) + 1)  # nulls
-    if bounds:
-        upper = F.array(*[F.lit(-int(b)) for b in bounds])
-        part = F.when(F.col("doc_id").isNull(), part).otherwise(F.size(F.filter(upper, lambda b: b < -F.col("doc_id"))))
-    else:
-        part = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.lit(0))
+    total, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = lambda n: min(RANGES, max(1, -(-n // rows)))
+    known, n = docs.where("doc_id IS NOT NULL"), parts(total - nulls)
+    bounds = sorted(set(known.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 and total > nulls else []), reverse=True)
+    step = max(1, math.isqrt(len(bounds)))
+    groups = [[int(b) for b in bounds[k : k + step]] for k in range(0, len(bounds), step)]
+    above = lambda values: F.size(F.filter(values, lambda b: b > F.col("doc_id")))
+    part = F.lit(0)
+    if groups:
+        lasts, all_of = F.array(*[F.lit(g[-1]) for g in groups]), F.array(*[F.array(*map(F.lit, g)) for g in groups])
+        part = above(lasts) * step + F.coalesce(above(F.get(all_of, above(lasts))), F.lit(0))
+    by_hash = F.floor((1 - (F.col("hash") / 2.0**64 + 0.5)) * parts(nulls)).cast("int")
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1) + by_hash).otherwise(part)
     dealt = docs.withColumn("part", part.cast("int"))
     first = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("top")).orderBy("part").collect()
     used = [r.part for r in first]

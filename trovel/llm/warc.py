@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovel.llm.common import batches, cut, pick, shared_dir
+from trovel.llm.common import batches, cut, pick, remove, shared_dir
 
 #: Lines of an index block, payload bytes from which equal records are stored once, and bytes after which a task starts
 #: another archive.
 BLOCK_LINES, LEAST_BYTES, ARCHIVE_BYTES = 256, 100, 1 << 30
+#: Bytes of an archive that one task reads.
+READ_BYTES = 1 << 26
 
 
 @lru_cache(maxsize=4)
@@ -169,6 +171,13 @@ class Reader:
 
     def find(self, key: str) -> list[dict]:
         """The records of a capture key (several if a page was given more than once), parsed."""
+        return [self.record(*at) for at in self.locate(key)]
+
+    def record(self, file: str, offset: int, length: int) -> dict:
+        return parse(zlib.decompress(self._read(file, offset, length), 31))
+
+    def locate(self, key: str) -> list[tuple[str, int, int]]:
+        """File, offset and length of the records of a capture key, by binary search in the directory and then in the block."""
         if not self.ranges:
             return []
         lines, out = self._block(self.part(key + " ~"), key + " ~"), []
@@ -178,7 +187,7 @@ class Reader:
             while at and lines[at - 1].startswith(key + " "):
                 at -= 1
                 file, offset, length = lines[at].split(" ")[-3:]
-                out.append(parse(zlib.decompress(self._read(file, int(offset), int(length)), 31)))
+                out.append((file, int(offset), int(length)))
             if at or (part == 0 and k == 0):
                 return out
             if k:
@@ -191,27 +200,44 @@ class Reader:
 
 def read_records(wanted: DataFrame, folder: str, ranges: list[dict], *, payload: bool = False) -> DataFrame:
     """The records of distinct capture keys (column key): page_id, record_type, refers_to, payload_bytes, payload_digest, and
-    the payload if asked for. Keys go to the range of the index that holds them, a task for each range, however few bytes its
-    keys are, and it reads one directory and its blocks in order. Keys that the index lacks, or null, yield nothing."""
+    the payload if asked for. Keys are looked up in order, range by range of the index; the places found are then dealt by
+    archive and stretch of READ_BYTES, so that each task reads its records front to back. Keys that the index lacks, or null,
+    yield nothing; no keys yield no rows."""
     kinds = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), *([("payload", pa.binary())] if payload else [])]
+    places = [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 
-    def placed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder, ranges)
         for batch in source:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([reader.part(k) for k in batch.column(0).to_pylist()], pa.int32())], names=["key", "part"])
 
+    def placed(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(folder, ranges)
+        for batch in source:
+            found = [at for k in batch.column(0).to_pylist() for at in reader.locate(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, (_, t) in enumerate(places)], names=[c for c, _ in places])
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder, ranges)
         for batch in batches(source, 500):
-            found = [r for k in batch.column(0).to_pylist() for r in reader.find(k)]
+            found = [reader.record(*at) for at in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in kinds], names=[c for c, _ in kinds])
 
-    keys = wanted.where("key IS NOT NULL").select("key").mapInArrow(placed, "key string, part int")
-    return keys.repartition(max(1, len(ranges)), "part").sortWithinPartitions("part", "key").select("key").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload)
+    keys = wanted.where("key IS NOT NULL").select("key").mapInArrow(parted, "key string, part int")
+    keys = keys.repartition(max(1, len(ranges)), "part").sortWithinPartitions("part", "key").select("key")
+    located = cut(keys.mapInArrow(placed, "file string, offset long, length long"))
+    stretch = F.expr(f"offset div {READ_BYTES}")
+    tasks = located.select("file", stretch).distinct().count()
+    return located.repartition(max(1, tasks), "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(run, "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload)
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None, **columns: str) -> DataFrame:
-    """Writes archives and their index, then reads every capture back through the index."""
-    folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    captures = write_archives(pages, folder, **columns)
-    return read_records(captures.select("key").distinct(), folder, write_index(captures, folder))
+    """Writes archives and their index, then reads every capture back through the index. Without a folder they stand in the
+    shared folder only until they are read."""
+    spark, own = pages.sparkSession, folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    captures = write_archives(pages, own, **columns)
+    found = read_records(captures.select("key").distinct(), own, write_index(captures, own))
+    if folder is None:
+        found = cut(found)
+        remove(spark, own)
+    return found
