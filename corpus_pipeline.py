@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovel.llm import mixing, packing, quality, simhash, tokens, toxicity
-from trovel.llm.common import cut, shared_dir
+from trovel.llm.common import cut, remove, shared_dir
 from trovel.llm.queries import MIX_WEIGHTS, source_tree, toxic_index
 
 #: Five-word shingles, 256 bits, for candidates only: at a Jaccard likeness of 0.8 about 15 % of the bits (39) differ, with a
@@ -79,4 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+    docs = cut(docs)  # pieces' places alone, so that the stages' copies of the corpus can go
+    remove(spark, folder)
     return docs
