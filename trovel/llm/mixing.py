@@ -69,6 +69,11 @@ def _order(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), "mix_key"))
 
 
+def _beside(rows: DataFrame, per_leaf: DataFrame, leaves: int) -> DataFrame:
+    """rows with what stands for their leaf: no shuffle, so a leaf with a third of all rows is no hot key, while leaves are few."""
+    return rows.join(F.broadcast(per_leaf) if leaves <= BROADCAST_LEAVES else per_leaf, "mix_leaf")
+
+
 def cuts(rows: DataFrame, depth: int, *, total: int | float, weights: Mapping[tuple, float], epochs: int, seed: int) -> DataFrame:
     """mix_leaf, full, last: of each leaf of rows (mix_leaf, mix_key, mix_tokens), the epochs it gives whole, and up to which
     place of the order of the epoch after it gives rows (null: none)."""
@@ -76,16 +81,17 @@ def cuts(rows: DataFrame, depth: int, *, total: int | float, weights: Mapping[tu
     there = totals.agg(F.sum("n")).first()[0] or 0
     plan = budgets(totals, depth, weights, int(total * there) if isinstance(total, float) else total, epochs)
     plan = cut(plan.select("mix_leaf", F.expr("if(n > 0, tokens div n, 0)").cast("int").alias("full"), F.expr("if(n > 0, tokens % n, 0)").alias("rest")))
-    ordered = rows.join(plan.where("rest > 0"), "mix_leaf").select("mix_leaf", "rest", "mix_tokens", _order(seed, F.col("full")).alias("mix_order"))
+    leaves = plan.count()
+    ordered = _beside(rows, plan.where("rest > 0"), leaves).select("mix_leaf", "rest", "mix_tokens", _order(seed, F.col("full")).alias("mix_order"))
     ends = plan.where("rest > 0").select("mix_leaf", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for digits in range(2, 33, 2):
-        inside = ordered.join(ends, "mix_leaf").where("startswith(mix_order, prefix)")
+        inside = _beside(ordered, ends, leaves).where("startswith(mix_order, prefix)")
         sums = inside.groupBy("mix_leaf", "rest", "before", F.substring("mix_order", 1, digits).alias("prefix")).agg(F.sum("mix_tokens").alias("n"), F.count("*").alias("rows"))
         upto = sums.withColumn("upto", F.expr("before + sum(n) OVER (PARTITION BY mix_leaf ORDER BY prefix)")).where("upto > rest")  # at most 256 rows a leaf
         ends = cut(upto.groupBy("mix_leaf").agg(F.min(F.struct("prefix", (F.col("upto") - F.col("n")).alias("before"), "rows")).alias("end")).select("mix_leaf", "end.*"))
         if (ends.agg(F.max("rows")).first()[0] or 0) <= RANGE_ROWS:
             break
-    single = ordered.join(ends, "mix_leaf").where("startswith(mix_order, prefix)").groupBy("mix_leaf", "rest", "before", "mix_order").agg(F.sum("mix_tokens").alias("n"))
+    single = _beside(ordered, ends, leaves).where("startswith(mix_order, prefix)").groupBy("mix_leaf", "rest", "before", "mix_order").agg(F.sum("mix_tokens").alias("n"))
     fits = single.withColumn("upto", F.expr("before + sum(n) OVER (PARTITION BY mix_leaf ORDER BY mix_order)")).where("upto <= rest").groupBy("mix_leaf").agg(F.max("mix_order").alias("best"))
     last = ends.join(fits, "mix_leaf", "left").select("mix_leaf", F.coalesce("best", "prefix").alias("last"))
     return cut(plan.join(last, "mix_leaf", "left").select("mix_leaf", "full", "last"))
@@ -106,8 +112,7 @@ def apply(docs: DataFrame, found: DataFrame, *, levels: list[Column], key: Colum
     alone, by its leaf's cut; texts are neither counted again nor shuffled while the leaves are few enough to be broadcast."""
     known = [F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")]
     rows = docs.select(*known, tree_leaf(levels).alias("mix_leaf"), F.coalesce(key.cast("string"), F.lit("")).alias("mix_key"))
-    found = F.broadcast(found) if found.count() <= BROADCAST_LEAVES else found
-    rows = rows.join(found, "mix_leaf").withColumn("mix_upto", F.col("full") + F.coalesce((_order(seed, F.col("full")) <= F.col("last")).cast("int"), F.lit(0)))
+    rows = _beside(rows, found, found.count()).withColumn("mix_upto", F.col("full") + F.coalesce((_order(seed, F.col("full")) <= F.col("last")).cast("int"), F.lit(0)))
     rows = rows.where("mix_upto > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_upto") - 1)))
     return rows.select(*known, "mix_epoch", "mix_leaf")
 
