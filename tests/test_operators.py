@@ -55,7 +55,7 @@ def test_fusion_ties(spark):
     a = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "query_id long, doc_id long, rank int")
     b = spark.createDataFrame([(1, 7, 1), (1, 6, 2)], "query_id long, doc_id long, rank int")
     found = retrieval.hybrid(a, b).orderBy("rank_final").collect()
-    assert [(r.doc_id, r.origin) for r in found] == [(6, "ambos"), (5, "rag"), (7, "graphrag")]
+    assert [(r.doc_id, r.origin) for r in found] == [(6, "ambos"), (5, "rag"), (7, "entity")]
 
 
 def test_graph_nulls_and_empty(spark):

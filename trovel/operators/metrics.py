@@ -87,7 +87,7 @@ def _draws(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long"))
 
 
-def bootstrap(pairs: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """comparison, metric, low, high: 95 % percentile interval of the mean delta, queries drawn anew draws times."""
     n = pairs.groupBy("comparison", "metric").agg(F.count("*").alias("n"))
     rows = _draws(pairs, draws, seed).join(n, ["comparison", "metric"])
@@ -98,7 +98,7 @@ def bootstrap(pairs: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
     return ends.select("comparison", "metric", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
-def permutation(pairs: DataFrame, draws: int = 200, seed: int = 42) -> DataFrame:
+def permutation(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """comparison, metric, p: two-sided sign-flip test of the mean delta, with one added to both counts."""
     seen = pairs.groupBy("comparison", "metric").agg(F.abs(F.avg("delta")).alias("seen"))
     flips = _draws(pairs, draws, seed).groupBy("comparison", "metric", "draw").agg(F.abs(F.avg(F.when(F.col("h") % 2 == 0, F.col("delta")).otherwise(-F.col("delta")))).alias("m"))

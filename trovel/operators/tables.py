@@ -131,3 +131,37 @@ def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def check_vectors(vectors: DataFrame, key: str = "chunk_id", embedding: str = "embedding") -> DataFrame:
     """n_rows, n_keys, n_null, n_sizes: a sound vector table has as many keys as rows, no null and one size."""
     return vectors.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.count_if(F.col(embedding).isNull()).alias("n_null"), F.count_distinct(F.size(embedding)).alias("n_sizes"))
+
+
+def seeded_places(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
+    """df with place, from 1: that of seeded_order over all rows. Rows are counted by the first three digits of their hash, so a
+    window reads 1/4096 of them and no task sorts all."""
+    rows = df.withColumn("place_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))).withColumn("place_part", F.substring("place_hash", 1, 3))
+    counts = rows.groupBy("place_part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("place_before", F.sum("n").over(Window.orderBy("place_part")) - F.col("n")).drop("n")  # of 4,096 rows
+    own = F.row_number().over(Window.partitionBy("place_part").orderBy("place_hash", *keys))
+    return rows.join(F.broadcast(before), "place_part").withColumn("place", (F.col("place_before") + own).cast("long")).drop("place_hash", "place_part", "place_before")
+
+
+def next_work(work: DataFrame, log: DataFrame, keys: list[str], *, order: list[str], limit: int | None = None, seed: int = 42) -> DataFrame:
+    """The work that the log has not as done, in seeded order, only the first limit rows of it if asked: rows that failed come
+    again, since only status ok counts as done."""
+    rows = seeded_order(pending(work, log, keys), order, seed)
+    return rows if limit is None else rows.limit(limit)
+
+
+def require_equal(df: DataFrame, c: str, wanted: str) -> DataFrame:
+    """The rows whose text equals wanted, white space trimmed and case left out; an error that lists values if there are none."""
+    found = df.where(F.lower(trim_ws(F.col(c))) == wanted.strip().lower())
+    if not found.take(1):
+        known = [r[0] for r in df.select(c).distinct().orderBy(c).limit(20).collect()]
+        raise ValueError(f"no {c} is {wanted!r}; there are {known}")
+    return found
+
+
+def require_rows(df: DataFrame, keys: list[str], at_least: int = 1, exactly: int | None = None) -> DataFrame:
+    """df, after a check that every group of keys has at least (or exactly) so many rows; an error names the first that has not."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    if bad := sizes.where(F.col("n") != exactly if exactly is not None else F.col("n") < at_least).orderBy(*keys).limit(3).collect():
+        raise ValueError(f"groups of a wrong size: {[tuple(r) for r in bad]}")
+    return df

@@ -73,29 +73,29 @@ def graph_expand_demo(m: Model) -> DataFrame:
 
 
 @query("""SELECT query_id, rank_final::BIGINT AS rank_final, doc_id, round(score_final, 6) AS score_final, rank_semantic::BIGINT AS rank_semantic, round(score_semantic, 6) AS score_semantic,
-  rank_graph::BIGINT AS rank_graph, round(score_graph, 6) AS score_graph, round(rrf_semantic, 6) AS rrf_semantic, round(rrf_graph, 6) AS rrf_graph, was_seed FROM graphrag""")
-def graphrag_top10(m: Model) -> DataFrame:
+  rank_graph::BIGINT AS rank_graph, round(score_graph, 6) AS score_graph, round(rrf_semantic, 6) AS rrf_semantic, round(rrf_graph, 6) AS rrf_graph, was_seed FROM entity""")
+def entity_top10(m: Model) -> DataFrame:
     cols = [big("rank_final"), "doc_id", r6("score_final"), big("rank_semantic"), r6("score_semantic"), big("rank_graph"), r6("score_graph"), r6("rrf_semantic"), r6("rrf_graph"), "was_seed"]
-    return m.graphrag().select("query_id", *cols)
+    return m.entity().select("query_id", *cols)
 
 
-@query("""SELECT query_id, rank_final::BIGINT AS rank_final, doc_id, rank_rag::BIGINT AS rank_rag, rank_graphrag::BIGINT AS rank_graphrag, round(rrf_rag, 6) AS rrf_rag, round(rrf_graphrag, 6) AS rrf_graphrag,
+@query("""SELECT query_id, rank_final::BIGINT AS rank_final, doc_id, rank_rag::BIGINT AS rank_rag, rank_entity::BIGINT AS rank_entity, round(rrf_rag, 6) AS rrf_rag, round(rrf_entity, 6) AS rrf_entity,
   round(score_final, 6) AS score_final, origin FROM hybrid""")
 def hybrid_rrf_top10(m: Model) -> DataFrame:
-    return m.hybrid().select("query_id", big("rank_final"), "doc_id", big("rank_rag"), big("rank_graphrag"), r6("rrf_rag"), r6("rrf_graphrag"), r6("score_final"), "origin")
+    return m.hybrid().select("query_id", big("rank_final"), "doc_id", big("rank_rag"), big("rank_entity"), r6("rrf_rag"), r6("rrf_entity"), r6("score_final"), "origin")
 
 
 @query("""SELECT query_id, doc_id, chunk_index, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_index) AS n
   FROM scored SEMI JOIN result USING (query_id, doc_id)) WHERE n = 1""")
 def best_chunk_per_doc(m: Model) -> DataFrame:
-    wanted = m.rag().select("query_id", "doc_id").unionByName(m.graphrag().select("query_id", "doc_id"))
+    wanted = m.rag().select("query_id", "doc_id").unionByName(m.entity().select("query_id", "doc_id"))
     return retrieval.best_chunk(wanted, m.scored()).select("query_id", "doc_id", "chunk_index", r6("score"))
 
 
 @query()
 def evidence_top5(m: Model) -> DataFrame:
     seeds = m.semantic().where("rank <= 10").select("query_id", "doc_id", "score")
-    return retrieval.evidence(seeds, m.graph()[1], m.table("documents").count(), m.graphrag())
+    return retrieval.evidence(seeds, m.graph()[1], m.table("documents").count(), m.entity())
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS self_score FROM embeddings", base=False)
@@ -121,7 +121,7 @@ def _metrics(system: str) -> None:
     query(sql)(f)
 
 
-for _system in ("rag", "graphrag", "hybrid"):
+for _system in ("rag", "entity", "hybrid"):
     _metrics(_system)
 
 _MEANS = ", ".join(f"round(avg({c})::DOUBLE, 6) AS {c}" for c in METRIC_COLUMNS)
@@ -169,7 +169,7 @@ def zero_hit_queries(m: Model) -> DataFrame:
 
 @query("SELECT system, count(*) FILTER (n_hits = 0) AS n_zero FROM metric GROUP BY ALL")
 def zero_hit_by_system(m: Model) -> DataFrame:
-    rows = [m.metrics(s).agg(F.count_if(F.col("n_hits") == 0).alias("n_zero")).select(F.lit(s).alias("system"), "n_zero") for s in ("rag", "graphrag", "hybrid")]
+    rows = [m.metrics(s).agg(F.count_if(F.col("n_hits") == 0).alias("n_zero")).select(F.lit(s).alias("system"), "n_zero") for s in ("rag", "entity", "hybrid")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
@@ -227,31 +227,31 @@ def bootstrap_permutation_exact(m: Model) -> DataFrame:
     return metrics.exact_tests(m.paired(), draws=10_000)
 
 
-@query("""SELECT query_id, doc_id, CASE WHEN r.query_id IS NOT NULL AND g.query_id IS NOT NULL THEN 'kept' WHEN r.query_id IS NOT NULL THEN 'removed' ELSE 'new' END AS change FROM rag r FULL JOIN graphrag g USING (query_id, doc_id)""")
+@query("""SELECT query_id, doc_id, CASE WHEN r.query_id IS NOT NULL AND g.query_id IS NOT NULL THEN 'kept' WHEN r.query_id IS NOT NULL THEN 'removed' ELSE 'new' END AS change FROM rag r FULL JOIN entity g USING (query_id, doc_id)""")
 def rank_setdiff(m: Model) -> DataFrame:
-    return tables.set_changes(m.rag(), m.graphrag(), ["query_id", "doc_id"])
+    return tables.set_changes(m.rag(), m.entity(), ["query_id", "doc_id"])
 
 
-@query("""SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS removed FROM rag ANTI JOIN graphrag USING (query_id, doc_id) GROUP BY ALL""")
+@query("""SELECT query_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS removed FROM rag ANTI JOIN entity USING (query_id, doc_id) GROUP BY ALL""")
 def removed_in_order(m: Model) -> DataFrame:
-    gone = m.rag().join(m.graphrag().select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    gone = m.rag().join(m.entity().select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return gone.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("removed"))
 
 
-@query("""SELECT count(*) AS n_promoted, count(grade) AS n_judged, count(*) FILTER (grade > 0) AS n_relevant, round(count(*) FILTER (grade > 0) / nullif(count(grade), 0), 6) AS precision_judged FROM graphrag LEFT JOIN qrel USING (query_id, doc_id) WHERE NOT was_seed""")
+@query("""SELECT count(*) AS n_promoted, count(grade) AS n_judged, count(*) FILTER (grade > 0) AS n_relevant, round(count(*) FILTER (grade > 0) / nullif(count(grade), 0), 6) AS precision_judged FROM entity LEFT JOIN qrel USING (query_id, doc_id) WHERE NOT was_seed""")
 def promoted_diag(m: Model) -> DataFrame:
-    rows = metrics.judged(m.graphrag().where("NOT was_seed"), m.qrels()).agg(F.count("*").alias("n_promoted"), F.count_if("judged").alias("n_judged"), F.count_if("relevant").alias("n_relevant"))
+    rows = metrics.judged(m.entity().where("NOT was_seed"), m.qrels()).agg(F.count("*").alias("n_promoted"), F.count_if("judged").alias("n_judged"), F.count_if("relevant").alias("n_relevant"))
     return rows.withColumn("precision_judged", F.round(S.ratio(F.col("n_relevant"), F.col("n_judged")), 6))
 
 
 @query("""SELECT kind, query_id, round(delta, 6) AS delta, n_kept, n_new FROM (
-  (SELECT 'gain' AS kind, query_id, delta FROM pair WHERE comparison = 'rag_vs_graphrag' AND metric = 'ndcg_at_10' ORDER BY round(delta, 9) DESC, query_id LIMIT 10)
-  UNION ALL (SELECT 'loss', query_id, delta FROM pair WHERE comparison = 'rag_vs_graphrag' AND metric = 'ndcg_at_10' ORDER BY round(delta, 9), query_id LIMIT 10))
-  JOIN (SELECT query_id, count(*) FILTER (r.rank IS NOT NULL) AS n_kept, count(*) FILTER (r.rank IS NULL) AS n_new FROM graphrag LEFT JOIN rag r USING (query_id, doc_id) GROUP BY ALL) USING (query_id)""")
+  (SELECT 'gain' AS kind, query_id, delta FROM pair WHERE comparison = 'rag_vs_entity' AND metric = 'ndcg_at_10' ORDER BY round(delta, 9) DESC, query_id LIMIT 10)
+  UNION ALL (SELECT 'loss', query_id, delta FROM pair WHERE comparison = 'rag_vs_entity' AND metric = 'ndcg_at_10' ORDER BY round(delta, 9), query_id LIMIT 10))
+  JOIN (SELECT query_id, count(*) FILTER (r.rank IS NOT NULL) AS n_kept, count(*) FILTER (r.rank IS NULL) AS n_new FROM entity LEFT JOIN rag r USING (query_id, doc_id) GROUP BY ALL) USING (query_id)""")
 def extreme_cases(m: Model) -> DataFrame:
-    rows = metrics.paired({"rag": m.metrics("rag"), "graphrag": m.metrics("graphrag")}).where("metric = 'ndcg_at_10'")
+    rows = metrics.paired({"rag": m.metrics("rag"), "entity": m.metrics("entity")}).where("metric = 'ndcg_at_10'")
     pick = lambda kind, order: rows.orderBy(order, "query_id").limit(10).select(F.lit(kind).alias("kind"), "query_id", r6("delta"))
-    changes = tables.set_changes(m.rag(), m.graphrag(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count_if(F.col("change") == "kept").alias("n_kept"), F.count_if(F.col("change") == "new").alias("n_new"))
+    changes = tables.set_changes(m.rag(), m.entity(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.count_if(F.col("change") == "kept").alias("n_kept"), F.count_if(F.col("change") == "new").alias("n_new"))
     key = F.round("delta", 9)
     return pick("gain", key.desc()).unionByName(pick("loss", key.asc())).join(changes, "query_id").select("kind", "query_id", "delta", "n_kept", "n_new")
 
@@ -310,17 +310,17 @@ def graph_reference_fragments(m: Model) -> DataFrame:
     return graph.fragments(m.graph()[0])
 
 
-@query("SELECT DISTINCT lang AS area, source AS tema, 'band ' || (n_chars // 1000) AS subtema FROM documents", base=False)
+@query("SELECT DISTINCT area, tema, subtema FROM doc")
 def taxonomy_distinct(m: Model) -> DataFrame:
     return m.documents().select("area", "tema", "subtema").distinct()
 
 
 @query("""SELECT s.n_name AS a, t.n_name AS b, 'trades with' AS relation FROM (SELECT DISTINCT c_nationkey AS x, s_nationkey AS y FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)
-  JOIN nation s ON s.n_nationkey = x JOIN nation t ON t.n_nationkey = y WHERE s.n_nationkey < 20 AND t.n_nationkey < 20""", base=False)
+  JOIN nation s ON s.n_nationkey = x JOIN nation t ON t.n_nationkey = y""", base=False)
 def valid_relations(m: Model) -> DataFrame:
     pairs = m.table("customer").join(m.table("orders"), F.col("o_custkey") == F.col("c_custkey")).join(m.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(m.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     edges = pairs.select(F.col("c_nationkey").cast("string").alias("origem"), F.col("s_nationkey").cast("string").alias("destino"), F.lit("trades with").alias("tipo")).distinct()
-    nodes = m.table("nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("node_id"), "n_name")
+    nodes = m.table("nation").select(F.col("n_nationkey").cast("string").alias("node_id"), "n_name")
     kept = graph.valid_subgraph(nodes, edges)[1]
     name = lambda c, n: nodes.select(F.col("node_id").alias(c), F.col("n_name").alias(n))
     return kept.join(F.broadcast(name("origem", "a")), "origem").join(F.broadcast(name("destino", "b")), "destino").select("a", "b", F.col("tipo").alias("relation"))
@@ -439,7 +439,7 @@ def context_assembly(m: Model) -> DataFrame:
 
 @query("SELECT system, count(DISTINCT query_id) AS n_contexts, round(avg(n), 6) AS mean_docs, min(n) AS least, max(n) AS most FROM (SELECT system, query_id, count(*) AS n FROM result GROUP BY ALL) GROUP BY ALL")
 def context_by_arch_summary(m: Model) -> DataFrame:
-    rows = [df.select(F.lit(s).alias("system"), "query_id") for s, df in (("rag", m.rag()), ("graphrag", m.graphrag()), ("hybrid", m.hybrid()))]
+    rows = [df.select(F.lit(s).alias("system"), "query_id") for s, df in (("rag", m.rag()), ("entity", m.entity()), ("hybrid", m.hybrid()))]
     n = rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("system", "query_id").agg(F.count("*").alias("n"))
     return n.groupBy("system").agg(F.count_distinct("query_id").alias("n_contexts"), F.round(F.avg("n"), 6).alias("mean_docs"), F.min("n").alias("least"), F.max("n").alias("most"))
 
@@ -461,11 +461,17 @@ def latest_per_key(m: Model) -> DataFrame:
     return tables.latest(m.table("conversations"), ["conv_id"], [F.desc("turn")]).select("conv_id", "turn", F.md5("text").alias("text_md5"))
 
 
-@query("SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || turn), conv_id, turn)::BIGINT AS place FROM conversations WHERE turn = 0 ORDER BY place LIMIT 20", base=False)
+@query("SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || turn), conv_id, turn)::BIGINT AS place FROM conversations", base=False)
 def seeded_shuffle(m: Model) -> DataFrame:
-    rows = tables.seeded_order(m.table("conversations").where("turn = 0"), ["conv_id", "turn"]).limit(20)
-    order = F.md5(F.concat_ws(":", F.lit("42"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(order, "conv_id", "turn")).cast("long")).select("conv_id", "turn", "place")  # of 20 rows
+    return tables.seeded_places(m.table("conversations").select("conv_id", "turn"), ["conv_id", "turn"])
+
+
+@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY md5('42:' || conv_id || ':' || turn), conv_id, turn) AS place FROM conversations WHERE turn % 2 = 0 AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 1 AND length(text) % 3 = 0)) WHERE place <= 25", base=False)
+def pending_limited(m: Model) -> DataFrame:
+    """The first 25 of the pending work, in seeded order: a run with a limit."""
+    c = m.table("conversations")
+    log = c.where("turn = 1").select("conv_id", F.when(F.length("text") % 3 == 0, "ok").otherwise("erro").alias("status"))
+    return tables.next_work(c.where("turn % 2 = 0").select("conv_id", "turn"), log, ["conv_id"], order=["conv_id", "turn"], limit=25)
 
 
 @query("SELECT conv_id, turn, sha256(text) AS text_sha256 FROM conversations", base=False)
@@ -505,7 +511,7 @@ def grade_changes(m: Model) -> DataFrame:
     return rows.select("query_id", "system", (F.col("relevance_a") - F.col("relevance_a")).alias("same"), "relevance_delta")
 
 
-@query("""SELECT query_id, system, n_broken FROM (SELECT query_id, system, CASE WHEN response_abstained THEN 0 ELSE (CASE WHEN total_claims <> supported_claims + unsupported_claims THEN 1 ELSE 0 END) END::BIGINT AS n_broken FROM judge)""")
+@query("""SELECT query_id, system, n_broken FROM (SELECT query_id, system, CASE WHEN total_claims <> supported_claims + unsupported_claims THEN 1 ELSE 0 END::BIGINT AS n_broken FROM judge)""")
 def judge_rules(m: Model) -> DataFrame:
     why = F.struct(*[F.lit("x").alias(g) for g in contexts.GRADES], F.array(F.lit("c")).alias("unsupported_claims"))
     rows = m.judgements().withColumn("justification", why)
@@ -567,7 +573,7 @@ def first_present_label(m: Model) -> DataFrame:
 
 @query("SELECT kind, query_id, first_relevant::BIGINT AS first_relevant FROM (SELECT system AS kind, query_id, first_relevant FROM metric) WHERE first_relevant IS NOT NULL")
 def first_relevant(m: Model) -> DataFrame:
-    rows = [m.metrics(s).where("first_relevant IS NOT NULL").select(F.lit(s).alias("kind"), "query_id", big("first_relevant")) for s in ("rag", "graphrag", "hybrid")]
+    rows = [m.metrics(s).where("first_relevant IS NOT NULL").select(F.lit(s).alias("kind"), "query_id", big("first_relevant")) for s in ("rag", "entity", "hybrid")]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
