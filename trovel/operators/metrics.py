@@ -123,3 +123,13 @@ def exact_tests(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFr
         return pd.DataFrame({"comparison": [pdf["comparison"].iloc[0]], "metric": [pdf["metric"].iloc[0]], "low": [low], "high": [high], "p": [p]})
 
     return pairs.groupBy("comparison", "metric").applyInPandas(run, "comparison string, metric string, low double, high double, p double")
+
+
+def timed(df: DataFrame, queries: int) -> dict[str, float]:
+    """Seconds that a plan of so many queries takes, in whole and a query: all queries run at once, so none has its own."""
+    import time
+
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    took = time.perf_counter() - began
+    return {"seconds": took, "seconds_a_query": took / max(1, queries)}

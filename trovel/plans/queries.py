@@ -13,6 +13,7 @@ from trovel.functions import text as T
 from trovel.operators import chunks, contexts, graph, metrics, retrieval, tables
 from trovel.plans.model import Model
 from trovel.plans.oracle_base import BASE
+from trovel.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,6 +157,33 @@ def coverage_by_source(m: Model) -> DataFrame:
     return rows.select("source", "n_queries", big("n_judged"), r6("coverage"), big("least"), big("most"))
 
 
+@query("SELECT query_id, source, count(*) AS n_results, count(grade) AS n_judged, round(count(grade) / 10, 6) AS coverage FROM rag JOIN q USING (query_id) LEFT JOIN qrel USING (query_id, doc_id) GROUP BY ALL")
+def coverage_per_query(m: Model) -> DataFrame:
+    rows = metrics.judged(m.rag(), m.qrels()).join(m.queries().select("query_id", "source"), "query_id")
+    return rows.groupBy("query_id", "source").agg(F.count("*").alias("n_results"), F.count_if("judged").alias("n_judged"), F.round(F.count_if("judged") / 10, 6).alias("coverage"))
+
+
+@query("SELECT query_id, count(*) FILTER (was_seed) AS n_seeds, count(*) FILTER (NOT was_seed) AS n_new, count(grade) AS n_judged, count(*) FILTER (grade > 0) AS n_relevant FROM entity LEFT JOIN qrel USING (query_id, doc_id) GROUP BY ALL")
+def seeds_and_new(m: Model) -> DataFrame:
+    rows = metrics.judged(m.entity(), m.qrels())
+    return rows.groupBy("query_id").agg(F.count_if("was_seed").alias("n_seeds"), F.count_if(~F.col("was_seed")).alias("n_new"), F.count_if("judged").alias("n_judged"), F.count_if("relevant").alias("n_relevant"))
+
+
+@query("""SELECT v.rank::BIGINT AS rank, v.doc_id, grade, grade IS NOT NULL AS judged FROM (VALUES (1, 13), (2, 0), (3, 37), (4, 999999999)) v(rank, doc_id) LEFT JOIN (SELECT * FROM qrel WHERE query_id = 100) USING (doc_id)""")
+def fixed_ranking_check(m: Model) -> DataFrame:
+    """A ranking written down by hand, for one query, held against its judgements."""
+    fixed = files.literal_ids(m.spark, [13, 0, 37, 999_999_999]).withColumn("query_id", F.lit(100).cast("long"))
+    return metrics.judged(fixed, m.qrels()).select(big("rank"), "doc_id", "grade", "judged")
+
+
+@query("""SELECT query_id, count(*) FILTER (change = 'removed') AS n_removed, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (change = 'new') AS new_ids, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (change = 'removed') AS removed_ids FROM (
+  SELECT query_id, doc_id, CASE WHEN g.query_id IS NULL THEN 'removed' WHEN r.query_id IS NULL THEN 'new' ELSE 'kept' END AS change FROM rag r FULL JOIN entity g USING (query_id, doc_id)) GROUP BY ALL""")
+def changed_ids(m: Model) -> DataFrame:
+    rows = tables.set_changes(m.rag(), m.entity(), ["query_id", "doc_id"])
+    ids = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("doc_id")))), lambda x: x.cast("string")), ",")
+    return rows.groupBy("query_id").agg(F.count_if(F.col("change") == "removed").alias("n_removed"), F.nullif(ids("new"), F.lit("")).alias("new_ids"), F.nullif(ids("removed"), F.lit("")).alias("removed_ids"))
+
+
 @query("SELECT grade, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM rag JOIN qrel USING (query_id, doc_id) GROUP BY grade")
 def grade_histogram(m: Model) -> DataFrame:
     rows = metrics.judged(m.rag(), m.qrels()).where("judged")

@@ -80,8 +80,9 @@ class PatternTriples:
         return [t for t in found if self.relations is None or t[1] in self.relations]
 
 
-def with_retries(call: Callable[[], str], tries: int = 4, wait: float = 15.0, sleep: Callable[[float], None] = time.sleep, again: type[Exception] | tuple = Exception) -> tuple[str | None, int, str | None]:
-    """(result, tries made, error): waits twice as long after each failure; a blank result is a failure."""
+def with_retries(call: Callable[[], str], tries: int = 4, wait: float = 15.0, sleep: Callable[[float], None] = time.sleep, again: type[Exception] | tuple = Exception, growth: float = 2.0) -> tuple[str | None, int, str | None]:
+    """(result, tries made, error): waits after each failure, growth times as long as before (1: the same time, as for rate
+    limits); a blank result is a failure; errors other than again are raised at once."""
     error = None
     for n in range(1, tries + 1):
         try:
@@ -92,7 +93,7 @@ def with_retries(call: Callable[[], str], tries: int = 4, wait: float = 15.0, sl
         except again as e:
             error = f"{type(e).__name__}: {e}"
         if n < tries:
-            sleep(wait * 2 ** (n - 1))
+            sleep(wait * growth ** (n - 1))
     return None, tries, error
 
 

@@ -84,3 +84,59 @@ def graph_html(nodes: DataFrame, edges: DataFrame, most: int = 2_000) -> str:
         raise ValueError(f"over {most} nodes or edges")
     item = lambda *x: "<li>" + html.escape(" ".join(x)) + "</li>"
     return "<!DOCTYPE html><meta charset=utf-8><title>Graph</title><ul class=nodes>" + "".join(item(r.tipo or "", r.node_id) for r in n) + "</ul><ul class=edges>" + "".join(item(f"[{r.origem}] --({r.tipo})--> [{r.destino}]") for r in e) + "</ul>"
+
+
+def read_benchmark(spark: SparkSession, docs: str, queries: str, qrels: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The benchmark's three CSV files under the engine's names: documents (doc_id and its fields), queries (query_id, text,
+    source), judgements (query_id, doc_id, grade); an error if a judgement names a query that is not there."""
+    d = read_csv(spark, docs, DOC_SCHEMA).withColumnRenamed("KEY", "doc_id")
+    q = read_csv(spark, queries, QUERY_SCHEMA).toDF("query_id", "text", "source")
+    r = read_csv(spark, qrels, QREL_SCHEMA).selectExpr("QUERY_ID AS query_id", "DOC_ID AS doc_id", "SCORE AS grade")
+    if found := r.join(q, "query_id", "left_anti").take(3):
+        raise ValueError(f"judgements of unknown queries: {found}")
+    return d, q, r
+
+
+def write_vectors(df: DataFrame, path: str) -> int:
+    """The vector table as Parquet; returns its rows, which read_vectors checks."""
+    write_parquet(df, path)
+    return df.sparkSession.read.parquet(path).count()
+
+
+def read_vectors(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
+    """All blocks of a vector table; an error if there are not so many rows, or if vectors differ in length."""
+    df = spark.read.parquet(path)
+    found = df.agg(F.count("*").alias("n"), F.count_distinct(F.size("embedding")).alias("sizes")).first()
+    if (rows is not None and found.n != rows) or found.sizes > 1:
+        raise ValueError(f"{found.n} vectors of {found.sizes} lengths where {rows} were expected")
+    return df
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    write_parquet(nodes, f"{path}/nodes")
+    write_parquet(edges, f"{path}/edges", by=["tipo"])
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as written; edges of one relation are a folder, so a filter by tipo reads no other."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").select("origem", "destino", "tipo")
+
+
+def rebuild_csv(spark: SparkSession, log: str, schema: str, path: str) -> int:
+    """The whole CSV again from a JSONL log, lists and structs as JSON text; returns its rows."""
+    df = read_jsonl(spark, log, schema)
+    write_csv(df, path)
+    return df.count()
+
+
+def write_two_row_header(df: DataFrame, path: str, split: str = "__") -> None:
+    """A summary of few rows as one CSV whose columns a__mean, a__std stand under two header rows: a, a and mean, std."""
+    names = [c.partition(split) for c in df.columns]
+    first = df.sparkSession.createDataFrame([tuple(c[0] for c in names), tuple(c[2] for c in names)], [f"c{k}" for k in range(len(names))]).withColumn("place", F.monotonically_increasing_id() + F.lit(-(1 << 62)))
+    body = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(df.columns)]).withColumn("place", F.monotonically_increasing_id())
+    first.unionByName(body).coalesce(1).sortWithinPartitions("place").drop("place").write.mode("overwrite").csv(path, header=False, quote='"', escape='"')
+
+
+def table_text(df: DataFrame, most: int = 50) -> str:
+    """The first rows as aligned text, for the console."""
+    return df.limit(most).toPandas().to_string(index=False)
