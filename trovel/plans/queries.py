@@ -93,10 +93,14 @@ def best_chunk_per_doc(m: Model) -> DataFrame:
     return retrieval.best_chunk(wanted, m.scored()).select("query_id", "doc_id", "chunk_index", r6("score"))
 
 
-@query()
+@query("""SELECT query_id, doc_id, n::BIGINT AS n, seed, destino, tipo, round(part, 6) AS part FROM (
+  SELECT e.query_id, e.doc_id, seed, destino, tipo, part, row_number() OVER (PARTITION BY e.query_id, e.doc_id ORDER BY round(part, 9) DESC, seed, destino) AS n
+  FROM entity e JOIN typed t ON t.origem = 'documento::' || e.doc_id JOIN reached USING (query_id, destino, tipo)) WHERE n <= 5""")
 def evidence_top5(m: Model) -> DataFrame:
     seeds = m.semantic().where("rank <= 10").select("query_id", "doc_id", "score")
-    return retrieval.evidence(seeds, m.graph()[1], m.table("documents").count(), m.entity())
+    found = retrieval.evidence(seeds, m.graph()[1], m.table("documents").count(), m.entity())
+    rows = found.select("query_id", "doc_id", F.posexplode("evidence").alias("at", "link"))
+    return rows.select("query_id", "doc_id", (F.col("at") + 1).cast("long").alias("n"), "link.seed", "link.destino", "link.tipo", r6("link.part", "part"))
 
 
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS self_score FROM embeddings", base=False)
