@@ -37,6 +37,17 @@ def test_expansion_by_hand(spark):
     assert [r.doc_id for r in retrieval.expand(seeds, edges, 2, self_contribution=False).collect()] == [2]
 
 
+def test_expansion_without_own_part_keeps_small_scores(spark):
+    links = [("documento::1", "e", "INDEXADO_POR"), ("documento::2", "e", "INDEXADO_POR"), ("documento::3", "e", "CITA"), ("documento::1", "lone", "CITA")]
+    edges = spark.createDataFrame(links, "origem string, destino string, tipo string")
+    seeds = spark.createDataFrame([(1, 1, 0.8), (1, 2, 1e-15), (2, 1, -0.5)], "query_id long, doc_id long, score double")
+    idf = math.log(1 + 3 / 4)
+    same = {(r.query_id, r.doc_id): r.score for r in retrieval.expand(seeds, edges, 3, self_contribution=False).collect()}
+    assert same == {(1, 1): pytest.approx(1e-15 * 0.5 * idf, abs=0), (1, 2): pytest.approx(0.8 * 0.5 * idf), (2, 2): pytest.approx(-0.5 * 0.5 * idf)}
+    free = {(r.query_id, r.doc_id): r.score for r in retrieval.expand(seeds, edges, 3, self_contribution=False, same_relation=False).collect()}
+    assert free == {**same, (1, 3): pytest.approx((0.8 + 1e-15) * 0.5 * idf), (2, 3): pytest.approx(-0.5 * 0.5 * idf)}
+
+
 def test_scores_in_blocks(spark, monkeypatch):
     random.seed(3)
     vec = lambda: [random.random() for _ in range(4)]

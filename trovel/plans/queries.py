@@ -68,7 +68,7 @@ def graph_expand_scores(m: Model) -> DataFrame:
 
 
 @query("""SELECT query_id, doc_id, round(sum(part), 6) AS score FROM (SELECT r.query_id, t.origem, r.part, replace(t.origem, 'documento::', '')::BIGINT AS doc_id, seed FROM reached r
-  JOIN (SELECT DISTINCT origem, destino FROM typed) t USING (destino)) WHERE doc_id <> seed GROUP BY ALL HAVING sum(part) > 1e-12""")
+  JOIN (SELECT DISTINCT origem, destino FROM typed) t USING (destino)) WHERE doc_id <> seed GROUP BY ALL""")
 def graph_expand_demo(m: Model) -> DataFrame:
     return m.expanded(self_contribution=False, same_relation=False).select("query_id", "doc_id", r6("score"))
 
