@@ -76,8 +76,10 @@ class Index:
             return self
         self.numbers, self.forms = {t: k for k, t in enumerate(self.names)}, {}
         self.blocks = max(1, -(-len(self.ids) // BLOCK))
-        term = np.repeat(np.arange(len(self.names)), np.diff(self.first))
-        weight, example = self.count * self.idf[term] / self.norm[self.example], self.example.astype(np.int64)
+        term, example = np.repeat(np.arange(len(self.names), dtype=np.int32), np.diff(self.first)), self.example
+        weight = self.idf[term]
+        weight *= self.count
+        weight /= self.norm[example]
         split = int(self.first[self.long])
         self.lists = np.zeros((self.blocks, self.long, BLOCK), np.float32)
         self.lists[example[:split] // BLOCK, term[:split], example[:split] % BLOCK] = weight[:split]
@@ -179,32 +181,37 @@ def build(examples: pa.Table, totals: tuple[int, int]) -> Index:
     per_class = np.array([totals[c] / max(1, (toxic == c).sum()) for c in (0, 1)])
     lists, counts = examples["terms"].combine_chunks(), examples["counts"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    counts, example = counts.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
+    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    counts, example = counts.flatten().to_numpy().astype(np.int32), np.repeat(np.arange(len(ids), dtype=np.int32), lists.value_lengths().to_numpy())
+    del examples, lists, coded  # postings lie in arrays of 32 bits from here on, as the driver holds other queries' things too
     rows, whole = np.bincount(codes, minlength=len(names)), float(sum(totals))
     order = np.argsort(-rows, kind="stable")
-    number = np.empty_like(order)
+    number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
     seen = np.bincount(codes, per_class[toxic[example]], len(names))[order]
     idf = np.clip(np.log((1 + whole) / (1 + seen)), 0.0, RAREST)
     codes = number[codes]
-    weight = counts * idf[codes]
+    weight = idf[codes]
+    weight *= counts
     norm = np.sqrt(np.bincount(example, weight**2, len(ids)))
     lead = np.zeros(len(ids), np.int64)  # alike examples lie side by side: by their heaviest term
     by = np.lexsort((codes, -weight, example))
     heads = np.flatnonzero(np.diff(example[by], prepend=-1))
-    lead[example[by][heads]] = codes[by][heads]
+    lead[example[by[heads]]] = codes[by[heads]]
+    del by, weight
     side = np.lexsort((ids, lead))
-    place = np.empty_like(side)
+    place = np.empty(len(side), np.int32)
     place[side] = np.arange(len(side))
     example = place[example]
     by = np.lexsort((example, codes))
     first = np.searchsorted(codes[by], np.arange(len(names) + 1))
-    index = Index([names[k] for k in order], idf, min(float(np.log(1 + whole)), RAREST), int((rows >= LONG_LIST).sum()), first, example[by].astype(np.int32), counts[by], np.where(norm[side] > 0, norm[side], 1.0), toxic[side], ids[side], np.empty(0), np.empty(0))
+    names = [names[k] for k in order]
+    index = Index(names, idf, min(float(np.log(1 + whole)), RAREST), int((rows >= LONG_LIST).sum()), first, example[by], counts[by], np.where(norm[side] > 0, norm[side], 1.0), toxic[side], ids[side], np.empty(0), np.empty(0))
+    del by, codes, counts, example
     index.prepare()
     if len(ids):
         by = np.lexsort((index.weight, index.example))
-        term, weight, ends = np.repeat(np.arange(len(names)), np.diff(first))[by], index.weight[by], np.searchsorted(index.example[by], np.arange(len(ids) + 1))
+        term, weight, ends = np.repeat(np.arange(len(names), dtype=np.int32), np.diff(first))[by], index.weight[by], np.searchsorted(index.example[by], np.arange(len(ids) + 1))
         raw = np.empty(len(ids))
         for j in range(len(ids)):
             own, w = term[ends[j] : ends[j + 1]], weight[ends[j] : ends[j + 1]]
