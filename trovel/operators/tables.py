@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,15 @@ def top_values(df: DataFrame, c: str, n: int = 15) -> DataFrame:
     return value_counts(df, c, keep_null=True).orderBy(F.desc("n"), F.col(c).asc_nulls_last()).limit(n)
 
 
+def examples(df: DataFrame, columns: list[str], n: int = 10) -> DataFrame:
+    """column_name, example: the n least distinct values of each column as text, blanks and nulls left out."""
+    def least(c: str) -> DataFrame:
+        text = F.col(f"`{c}`").cast("string")
+        return df.select(F.lit(c).alias("column_name"), text.alias("example")).where(trim_ws(F.col("example")) != "").distinct().orderBy("example").limit(n)
+
+    return reduce(lambda x, y: x.unionByName(y), [least(c) for c in columns])
+
+
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last record of each key."""
     name = "latest_row_number"

@@ -311,6 +311,16 @@ def graph_degree_top(m: Model) -> DataFrame:
     return graph.by_degree(*m.graph(), "conceito", 20)
 
 
+@query("SELECT node_id, nome, coalesce(degree, 0)::BIGINT AS degree FROM node LEFT JOIN deg USING (node_id) WHERE tipo = 'conceito' ORDER BY coalesce(degree, 0), node_id LIMIT 20")
+def graph_degree_bottom(m: Model) -> DataFrame:
+    return graph.by_degree(*m.graph(), "conceito", 20, largest=False)
+
+
+@query("SELECT node_id, nome, coalesce(degree, 0)::BIGINT AS degree FROM node LEFT JOIN deg USING (node_id) WHERE tipo = 'referencia_legal' ORDER BY coalesce(degree, 0) DESC, node_id LIMIT 30")
+def graph_degree_references(m: Model) -> DataFrame:
+    return graph.by_degree(*m.graph(), "referencia_legal", 30)
+
+
 @query("SELECT node_id, tipo FROM node ANTI JOIN deg USING (node_id)")
 def graph_isolated(m: Model) -> DataFrame:
     return graph.isolated(*m.graph()).select("node_id", "tipo")
@@ -347,6 +357,11 @@ def taxonomy_distinct(m: Model) -> DataFrame:
     return m.documents().select("area", "tema", "subtema").distinct()
 
 
+@query("SELECT area, tema, subtema, count(*) AS n FROM doc GROUP BY ALL")
+def taxonomy_counts(m: Model) -> DataFrame:
+    return m.documents().groupBy("area", "tema", "subtema").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT s.n_name AS a, t.n_name AS b, 'trades with' AS relation FROM (SELECT DISTINCT c_nationkey AS x, s_nationkey AS y FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)
   JOIN nation s ON s.n_nationkey = x JOIN nation t ON t.n_nationkey = y""", base=False)
 def valid_relations(m: Model) -> DataFrame:
@@ -421,6 +436,13 @@ def top_values(m: Model) -> DataFrame:
     return tables.top_values(m.table("documents"), "source")
 
 
+@query("""SELECT 'lang' AS column_name, lang AS example FROM (SELECT DISTINCT lang FROM documents WHERE trim(lang) <> '' ORDER BY lang LIMIT 10)
+UNION ALL SELECT 'n_chars', n FROM (SELECT DISTINCT n_chars::VARCHAR AS n FROM documents WHERE n_chars IS NOT NULL ORDER BY n LIMIT 10)
+UNION ALL SELECT 'source', source FROM (SELECT DISTINCT source FROM documents WHERE trim(source) <> '' ORDER BY source LIMIT 10)""", base=False)
+def column_examples(m: Model) -> DataFrame:
+    return tables.examples(m.table("documents"), ["lang", "n_chars", "source"])
+
+
 @query("SELECT lang, count(DISTINCT source) AS n_sources FROM documents WHERE lang IS NOT NULL GROUP BY ALL", base=False)
 def distinct_per_group(m: Model) -> DataFrame:
     return m.table("documents").where("lang IS NOT NULL").groupBy("lang").agg(F.count_distinct("source").alias("n_sources"))
@@ -469,6 +491,32 @@ def context_assembly(m: Model) -> DataFrame:
     return out.select("query_id", "n_docs", big("total_tokens"), F.md5("context").alias("context_md5"), F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
+@query(""", w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\s\\p{Z}]+'), lambda x: x <> '') AS t FROM documents),
+n AS (SELECT doc_id, t, CASE WHEN len(t) <= 480 THEN 1 ELSE ceil((len(t) - 480) / 400)::BIGINT + 1 END AS n_windows FROM w SEMI JOIN rag USING (doc_id)),
+p AS (SELECT query_id, rank, doc_id, t[(chunk_index % n_windows) * 400 + 1 : (chunk_index % n_windows) * 400 + 480] AS t FROM rag JOIN n USING (doc_id))
+SELECT query_id, count(*) AS n_docs, sum(len(t))::BIGINT AS total_tokens, md5(string_agg('[DOC_' || doc_id || ']' || chr(10) || array_to_string(t, ' '), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM p GROUP BY ALL""")
+def context_best_chunks(m: Model) -> DataFrame:
+    """Contexts of the best window of each document, with its own tokens: a document's vectors go round its windows in turn. A
+    text without tokens is an empty block of none."""
+    docs = m.table("documents").join(m.rag().select("doc_id").distinct(), "doc_id", "left_semi")
+    found = chunks.windows(docs, prefix="").select("doc_id", F.col("chunk_index").alias("window"), "text", "num_tokens")
+    turns = chunks.window_counts(docs).select("doc_id", F.greatest("n_windows", F.lit(1)).alias("n_windows"))
+    rows = m.rag().join(turns, "doc_id").withColumn("window", (F.col("chunk_index") % F.col("n_windows")).cast("int")).join(found, ["doc_id", "window"], "left")
+    rows = rows.withColumns({"text": F.coalesce("text", F.lit("")), "num_tokens": F.coalesce("num_tokens", F.lit(0)), "chunk_id": F.concat_ws("_", F.col("doc_id").cast("string"), F.col("window").cast("string"))})
+    return contexts.assemble(rows, ["query_id"]).select("query_id", "n_docs", big("total_tokens"), F.md5("context").alias("context_md5"))
+
+
+@query("""SELECT v.system, q.query_id, coalesce(n, 0)::BIGINT AS n_docs, coalesce(n, 0) <> 10 AS short FROM q CROSS JOIN (VALUES ('rag'), ('entity'), ('hybrid')) v(system)
+  LEFT JOIN (SELECT system, query_id, count(*) AS n FROM result GROUP BY ALL) r ON r.system = v.system AND r.query_id = q.query_id""")
+def context_grid(m: Model) -> DataFrame:
+    """Every query under every system, those without results too."""
+    found = {"rag": m.rag(), "entity": m.entity(), "hybrid": m.hybrid()}
+    grid = m.queries().select("query_id", F.explode(F.array(*[F.lit(s) for s in found])).alias("system"))
+    counts = [df.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("system", F.lit(s)) for s, df in found.items()]
+    rows = grid.join(counts[0].unionByName(counts[1]).unionByName(counts[2]), ["query_id", "system"], "left")
+    return rows.select("system", "query_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_docs"), (F.coalesce("n", F.lit(0)) != 10).alias("short"))
+
+
 @query("SELECT system, count(DISTINCT query_id) AS n_contexts, round(avg(n), 6) AS mean_docs, min(n) AS least, max(n) AS most FROM (SELECT system, query_id, count(*) AS n FROM result GROUP BY ALL) GROUP BY ALL")
 def context_by_arch_summary(m: Model) -> DataFrame:
     rows = [df.select(F.lit(s).alias("system"), "query_id") for s, df in (("rag", m.rag()), ("entity", m.entity()), ("hybrid", m.hybrid()))]
