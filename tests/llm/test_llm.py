@@ -330,6 +330,32 @@ def test_wide_links_tell_the_components():
     assert joined == root and len(links) == len(values) - len(set(root))
 
 
+@pytest.mark.parametrize("held", [50, 100_000])
+def test_forest_joins_the_same_with_a_link_for_each_member(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "FOREST_LINKS", held)
+    draw = random.Random(8)
+    group, other = [[draw.randbytes(32) for _ in range(n)] for n in (60, 25)]
+    pairs = [(x, draw.choice(some)) for some in (group, other) for x in some for _ in range(20)]  # as if the groups met in 20 bands
+    pairs += list(zip(group, group[1:])) + list(zip(other, other[1:]))
+    found = simhash.forest(spark.createDataFrame(pairs, "a binary, b binary").repartition(5)).collect()
+    joined = {r.node: r.root for r in common.connected_components(spark.createDataFrame([(bytes(r.a), bytes(r.b)) for r in found], "a binary, b binary")).collect()}
+    assert {bytes(k): bytes(v) for k, v in joined.items()} == {x: min(some) for some in (group, other) for x in some}
+    assert len(found) == 83 if held > 50 else len(found) < len(pairs)
+    assert not simhash.forest(spark.createDataFrame([], "a binary, b binary")).collect()
+
+
+def test_near_duplicates_gather_no_link_for_each_band(spark, monkeypatch):
+    from corpus_pipeline import BITS, LIKENESS, RADIUS
+
+    seen, components = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda links: (seen.append(links.count()), components(links))[1])
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(120)]
+    found = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, bits=BITS, radius=RADIUS, likeness=LIKENESS)
+    assert {r.component_id for r in found.collect()} == {0}
+    assert seen and max(seen) < len(texts)
+
+
 def test_quality(spark, docs):
     def brute(t):
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if x]

@@ -20,6 +20,8 @@ CELL_ROWS = 50_000
 CELL_MEAN, CROWD = 64, 32
 #: Members of a candidate group whose shingles one block holds; larger groups are compared in tiles of two such blocks.
 GROUP_ROWS = 1_000
+#: Links that a task holds at once while it reduces them to a forest.
+FOREST_LINKS = 100_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -273,6 +275,48 @@ def near_links(prints: DataFrame, bands: list[list[int]], radius: int, links_of:
     return links.unionByName(_search(tiles, find, None).select("a", "b"))
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join the same components as those given: each task turns at most FOREST_LINKS at a time into stars
+    around the least value of each of their trees, again while that at least halves their number.
+
+    Only links within what others join already are left out, so no component changes; a group that meets in every band
+    leaves a link for each member rather than one for each member and band. Repeated links and loops are dropped, no links
+    yield no rows.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def root(v: bytes) -> bytes:
+            while (up := parent.setdefault(v, v)) != v:
+                parent[v] = parent[up]
+                v = parent[v]
+            return v
+
+        def stars() -> pa.RecordBatch:
+            found = [(v, r) for v in parent if (r := root(v)) != v]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        parent, held = {}, 0
+        for batch in batches(source, FOREST_LINKS):
+            if held + batch.num_rows > FOREST_LINKS:
+                yield stars()
+                held = 0
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                parent[max(x, y)] = min(x, y)
+            held += batch.num_rows
+        yield stars()
+
+    links = cut(links.select("a", "b"))
+    n = links.count()
+    while True:
+        tasks = max(1, math.ceil(n / FOREST_LINKS))
+        links = cut(links.coalesce(tasks).mapInArrow(run, "a binary, b binary"))
+        before, n = n, links.count()
+        if tasks == 1 or 2 * n > before:
+            return links
+
+
 def verified_links(own: DataFrame, groups: DataFrame, *, words: int, bits: int, radius: int, likeness: float, group_rows: int | None = None) -> DataFrame:
     """Links (a, b) of an exact Jaccard likeness of words-word shingles of at least likeness within each candidate group.
 
@@ -338,11 +382,11 @@ def near_duplicates(docs: DataFrame, *, words: int, bits: int, radius: int, like
     if likeness is None:
         links = near_links(classes, exact_bands(bits, radius, rows), radius)
     else:
-        links = near_links(classes, likely_bands(bits, likeness, rows), radius, wide_links)
+        links = forest(near_links(classes, likely_bands(bits, likeness, rows), radius, wide_links))
     roots = connected_components(links).withColumnRenamed("node", "fp")
     if likeness is not None:
         groups = cut(classes.join(roots, "fp").select("fp", "first_id", "root"))
-        links = cut(verified_links(own, groups, words=words, bits=bits, radius=radius, likeness=likeness))
+        links = forest(verified_links(own, groups, words=words, bits=bits, radius=radius, likeness=likeness))
         roots = connected_components(links).withColumnRenamed("node", "fp")
     linked = classes.join(roots, "fp")
     groups = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("n_alike"))
