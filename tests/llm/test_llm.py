@@ -356,6 +356,21 @@ def test_near_duplicates_gather_no_link_for_each_band(spark, monkeypatch):
     assert seen and max(seen) < len(texts)
 
 
+@pytest.mark.parametrize("bound", [500, 900, 10])
+def test_toxic_examples_are_bounded_in_terms(spark, monkeypatch, bound):
+    monkeypatch.setattr(toxicity, "POSTINGS", bound, raising=False)
+    texts = [" ".join([("vile" if i % 3 == 0 else "kind"), *[f"{i}w{k}" for k in range(4 if i % 3 == 0 else 30)]]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    index = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int"))
+    drawn, sizes = set(index.ids.tolist()), [len(toxicity.terms(t)) for t in texts]
+    assert len(index.example) == sum(sizes[i] for i in drawn) <= max(bound, sizes[0] + sizes[1]) and index.toxic.sum() >= 1 and (index.toxic == 0).any()
+    hashed = {r.id: r.h for r in spark.range(60).select("id", F.xxhash64("id").alias("h")).collect()}
+    for toxic in (True, False):  # the first ones in the hash's order, with no gap
+        own = sorted((i for i in range(60) if (i % 3 == 0) == toxic), key=hashed.get)
+        assert set(own[: len(drawn & set(own))]) == drawn & set(own)
+    assert bound == 10 or index.score("vile")[0] > index.score("kind")[0]  # one example of each has no neighbour to calibrate by
+
+
 def test_quality(spark, docs):
     def brute(t):
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t or "") if x]

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from trovel.llm.common import batches, cut, pick
 
 #: The bound of the fitted part: labelled examples of each class.
 EXAMPLES = 2_048
+#: Distinct terms of all examples, added up: the bound of the fitted part in bytes, whatever the texts' lengths.
+POSTINGS = 4_000_000
 NEIGHBOURS, BLOCK = 10, 256
 #: Lengths of the word starts that are terms beside whole words.
 STARTS = (4,)
@@ -226,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_examples: int = EXAMPLES, id
     """Fits the index on labels (doc_id, toxic 0 or 1) and their whole texts.
 
     At most most_examples rows of either class are drawn, those of the smallest hash of the id; all their terms are indexed,
-    whatever their class. Only the drawn rows' terms and counts reach the driver. Null labels, ids and texts are left out; of
-    an id's labels the largest holds, of its texts the least; no labels give an index that scores 0.
+    whatever their class. Where their distinct terms add up to over POSTINGS, as those of very long texts do, fewer rows are
+    drawn in the same order: each class as far as half of that goes, or what the other leaves, and one row at least. Only the
+    drawn rows' terms and counts reach the driver. Null labels, ids and texts are left out; of an id's labels the largest
+    holds, of its texts the least; no labels give an index that scores 0.
     """
     known = pick(labels, doc_id=id_col, toxic=label_col).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = cut(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
@@ -243,6 +247,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_examples: int = EXAMPLES, id
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(counted, "doc_id long, toxic int, terms array<string>, counts array<long>")
+    rows = cut(rows)
+    sizes = rows.select("doc_id", "toxic", order.alias("h"), F.size("terms").alias("n")).collect()
+    if sum(r.n for r in sizes) > POSTINGS:
+        left, kept = POSTINGS, F.lit(False)
+        for at, own in enumerate(sorted([[r for r in sizes if r.toxic == c] for c in (0, 1)], key=lambda own: sum(r.n for r in own))):
+            own.sort(key=lambda r: (r.h, r.doc_id))
+            ends = [n for n in accumulate(r.n for r in own) if n <= left // (2 - at)]
+            left -= ends[-1] if ends else 0
+            if own:
+                last = own[max(1, len(ends)) - 1]
+                kept |= (F.col("toxic") == last.toxic) & ((order < last.h) | (order == last.h) & (F.col("doc_id") <= last.doc_id))
+        rows = rows.where(kept)
     return build(rows.toArrow(), (by_class.get(0, 0), by_class.get(1, 0)))
 
 
