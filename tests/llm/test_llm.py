@@ -446,6 +446,30 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df, empty).collect()} == {0.0}
 
 
+def test_a_worker_frees_the_caches_of_the_operator_before(spark, monkeypatch):
+    monkeypatch.setitem(spark.sparkContext.environment, "OWN_WORKER", "caches")  # a pool of its own: one worker takes all tasks of one partition
+    df = spark.createDataFrame([(i, f"plain{i % 7} words here", i % 2) for i in range(40)], "doc_id long, text string, toxic int").coalesce(1)
+
+    def alive(source):
+        import gc
+        import os
+
+        for _ in source:
+            pass
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "n": [sum(isinstance(x, tokens.Cache) for x in gc.get_objects())]})
+
+    look = lambda: tuple(df.mapInArrow(alive, "pid long, n long").collect()[0])
+    pid, n = look()
+    assert n == 0
+    counts = tokens.token_counts(df, PIECE).collect()
+    assert look() == (pid, 2)
+    pieces = tokens.token_pieces(df, WORD, max_len=64).collect()
+    assert look() == (pid, 1)
+    index = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(toxicity.score(df, index).collect()) == 40 and look() == (pid, 0)
+    assert tokens.token_counts(df, PIECE).collect() == counts and tokens.token_pieces(df, WORD, max_len=64).collect() == pieces and look() == (pid, 1)
+
+
 def tree_budgets(available, weights, total, epochs):
     """Tokens of leaves by recursion: what the level-by-level plan must give."""
     given = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -48,6 +50,22 @@ def batches(source: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+_kept: dict[Hashable, dict] = {}
+
+
+def alone(operator: Hashable) -> dict:
+    """What a worker process keeps for an operator over its tasks. Workers outlive stages, so the caches of all stages would
+    add up in the executor's memory: those of any other operator are freed first, and their pages given back."""
+    if operator not in _kept:
+        if _kept:
+            _kept.clear()
+            gc.collect()  # caches and what fills them refer to one another
+            pa.default_memory_pool().release_unused()
+            getattr(ctypes.CDLL(None), "malloc_trim", bool)(0)  # glibc alone has it
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; others, whatever they are called, can't clash."""
     return df.select(*[F.col(f"`{given}`").alias(own) for own, given in columns.items()])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovel.llm.common import batches, pick
+from trovel.llm.common import alone, batches, pick
 
 #: Entries of the younger half of a worker's cache of word forms, and the longest form that is kept (others, such as lines
 #: without spaces, are worked out anew): 2 x 400,000 x 64 code points at most. Bounds memory, never changes a result.
@@ -143,15 +143,12 @@ class WordCounts:
         return n
 
 
-_loaded: dict[tuple, object] = {}
-
-
 def loaded(kind, *args):
-    """One of each per worker process, kept over its tasks."""
-    key = (kind, args[0])
-    if key not in _loaded:
-        _loaded[key] = kind(*args)
-    return _loaded[key]
+    """The one that a worker process keeps over its tasks, until another operator or tokenizer takes its place."""
+    own = alone((kind, args[0]))
+    if not own:
+        own["loaded"] = kind(*args)
+    return own["loaded"]
 
 
 def token_pieces(docs: DataFrame, path: str, *, max_len: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trovel.llm.common import batches, cut, pick
+from trovel.llm.common import alone, batches, cut, pick
 
 #: The bound of the fitted part: labelled examples of each class.
 EXAMPLES = 2_048
@@ -242,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_examples: int = EXAMPLES, id
     texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")
         for batch in batches(source, 200):
             rows = [terms(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([list(c) for c in rows], pa.list_(pa.string())), pa.array([list(c.values()) for c in rows], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
@@ -270,17 +271,19 @@ def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: st
     alone, so copies score alike; ties among neighbours go to the smaller number; no rows yield none. The index, whose size
     the number of examples bounds, is broadcast.
     """
-    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate([id_col, text_col, *extra])])
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = ["c0", "score", "evidence", *own.columns[2:]]
+    sent = [id_col, text_col, *[c for c in extra if c != text_col]]  # texts go to the workers once, and back only if asked for
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(sent)])
+    shared, back = docs.sparkSession.sparkContext.broadcast(index), 1 if text_col in extra else 2
+    names = ["c0", "score", "evidence", *own.columns[back:]]
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone("toxicity")  # the index itself goes with its broadcast
         index = shared.value.prepare()
         for batch in batches(source, 500):
             found = [index.score(t or "") for t in batch.column(1).to_pylist()]
             near = [[{"doc_id": i, "cosine": s, "toxic": y} for i, s, y in e] for _, e in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))), *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array(near, pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))), *batch.columns[back:]], names=names)
 
-    rest = "".join(f", {c} {k}" for c, k in own.dtypes[2:])
+    rest = "".join(f", {c} {k}" for c, k in own.dtypes[back:])
     found = own.mapInArrow(run, f"c0 {own.dtypes[0][1]}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>{rest}")
-    return found.toDF("doc_id", *into, *extra)
+    return found.select(F.col("c0").alias("doc_id"), F.col("score").alias(into[0]), F.col("evidence").alias(into[1]), *[F.col(f"c{sent.index(c, 1)}").alias(c) for c in extra])
