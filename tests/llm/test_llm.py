@@ -431,6 +431,58 @@ def test_block_max_is_exact(monkeypatch):
     assert 0 < index.long < len(index.names) and index.visited < 0.7 * index.asked * index.blocks
 
 
+def toxic_index_of(texts, labels):
+    counts = [toxicity.terms(t) for t in texts]
+    return toxicity.build(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "toxic": pa.array(labels, pa.int32()), "terms": pa.array([list(c) for c in counts], pa.list_(pa.string())), "counts": pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))}), (900, 100))
+
+
+def test_words_of_examples_are_taken_apart_once(monkeypatch):
+    index = toxic_index_of([f"example{i} wordy{i} été" for i in range(40)], [i % 2 for i in range(40)])
+    texts = [f"example{i % 40} wordy{i % 40} été " + " ".join(f"rare{i}x{k}" for k in range(30)) for i in range(120)]
+    want, taken, whole = [index.score(t) for t in texts], Counter(), toxicity.terms_of
+    index.ready = False
+    monkeypatch.setattr(toxicity, "FORMS", 50)
+    monkeypatch.setattr(toxicity, "terms_of", lambda word: taken.update([word]) or whole(word))
+    index.prepare()
+    assert [index.score(t) for t in texts] == want
+    assert max(taken[w] for i in range(40) for w in (f"example{i}", f"wordy{i}", "été")) <= 1
+    assert len(index.forms) <= len(index.names) + 50 + 30  # those of one text beside
+
+
+def test_blocks_are_read_once_for_all_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "LONG_LIST", 20)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    draw = random.Random(4)
+    texts = [" ".join(draw.choices(VOCAB + [f"w{i}" for i in range(300)], k=draw.randint(1, 60))) for _ in range(300)]
+    index = toxic_index_of(texts, [int(draw.random() < 0.4) for _ in texts])
+    asked = ["", "nothing known", *texts[::3], *texts[:20], LONG]
+
+    class Lists:
+        whole, read = index.lists, 0
+
+        def __getitem__(self, at):
+            Lists.read += int(np.ndim(at[0]) == 0) + np.size(self.whole[at]) / self.whole[0].size * int(np.ndim(at[0]) > 0)
+            return self.whole[at]
+
+    alone = [index.score(t) for t in asked]
+    index.lists, index.visited = Lists(), 0
+    scores, evidence = index.scores(asked)
+    assert index.blocks < Lists.read < 0.2 * index.visited  # 0.2: the few sums in 64 bits are read too
+    assert alone == [(s, [tuple(x.values()) for x in e]) for s, e in zip(scores.tolist(), evidence.to_pylist(), strict=True)] and alone[0][1] == alone[1][1] == []
+    back = index.scores(asked[::-1])[1].to_pylist()[::-1]
+    assert back == evidence.to_pylist() and index.scores([])[1].to_pylist() == []
+    held, whole = [], index.nearest_of
+    index.nearest_of = lambda queries, k: held.append([len(found) for found, _ in queries]) or whole(queries, k)
+    monkeypatch.setattr(toxicity, "TERMS_TOGETHER", 100)  # long texts wait for no others
+    assert index.scores(asked)[1].to_pylist() == evidence.to_pylist() and all(sum(x[:-1]) < 100 for x in held) and sum(map(len, held)) == len(asked)
+
+
+def test_words_are_those_the_pattern_finds():
+    every = "".join(f"A{chr(c)}b{chr(c)}{chr(c)}1" for c in range(0x2100) if not 0xD800 <= c < 0xE000)
+    for t in [*TEXTS, every, every[: 7 * 256], "İstanbul straße ÀÉ\x85x\xa0y_z\x1cq ²µªº", "“quoted” words—here"]:
+        assert toxicity.words(t or "") == __import__("re").findall(r"[^\W_]+", (t or "").lower())
+
+
 def test_toxicity(spark):
     draw = random.Random(3)
     words = [f"plain{i}" for i in range(200)]
