@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovel.functions.scores import TOLERANCE, discounted, relative_change
 
 METRICS = ("p_at_10", "r_at_10", "mrr_at_10", "ndcg_at_10")
+#: Draws that a row of work makes, and numbers that the exact tests draw at once; they never change a result.
+DRAWS, DRAWN = 100, 2_000_000
 
 
 def largest_grades(qrels: DataFrame) -> DataFrame:
@@ -82,44 +89,74 @@ def summary(pairs: DataFrame, keys: tuple[str, ...] = ("comparison", "metric"))
 
 
 def _draws(pairs: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Each draw and place with the hash that decides it, the same in any engine: md5 of seed:draw:place."""
-    rows = pairs.withColumn("i", F.row_number().over(Window.partitionBy("comparison", "metric").orderBy("query_id")) - 1)
-    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long"))
+    """comparison, metric, draw, drawn, flipped: for each draw the mean delta of the queries drawn anew, and of all with signs
+    drawn. The hash that decides draw and place is the same in any engine: md5 of seed:draw:place. The deltas, one number a query,
+    go to each task, which makes DRAWS draws of a row; a hash is worked out once for all comparisons and metrics, and no row
+    for each draw and query is made."""
+    one = F.struct("query_id", "delta")
+    deltas = pairs.groupBy("comparison", "metric").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["delta"].cast("double")).alias("delta"))
+    whole = deltas.agg(F.collect_list(F.struct("comparison", "metric", "delta")).alias("pairs"))
+    rows = pairs.sparkSession.range(0, draws, DRAWS).crossJoin(F.broadcast(whole))
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for row in range(batch.num_rows):
+                start, given = batch.column(0)[row].as_py(), batch.column(1).slice(row, 1).flatten()
+                lists = given.field("delta")
+                values = [lists.slice(k, 1).flatten().to_numpy(zero_copy_only=False) for k in range(len(lists))]
+                known = [lists.slice(k, 1).flatten().is_valid().to_numpy(zero_copy_only=False) for k in range(len(lists))]
+                places = [str(i).encode() for i in range(max(map(len, values), default=0))]
+                made = np.arange(start, min(start + DRAWS, draws))
+                h = np.empty((len(made), len(places)), ">u4")
+                for at, draw in enumerate(made):
+                    head = hashlib.md5(f"{seed}:{draw}:".encode())
+                    digests = []
+                    for place in places:
+                        one = head.copy()
+                        one.update(place)
+                        digests.append(one.digest()[:4])
+                    h[at] = np.frombuffer(b"".join(digests), ">u4")
+                h = h.astype(np.int64)
+                for k, (v, ok) in enumerate(zip(values, known, strict=True)):
+                    j, sign, there = h[:, : len(v)] % len(v), 1 - 2 * (h[:, : len(v)] % 2), int(ok.sum())
+                    v, n = np.where(ok, v, 0.0), ok[j].sum(1)
+                    means = (pa.array(v[j].sum(1) / np.maximum(n, 1), mask=n == 0), pa.array((sign * v).sum(1) / max(there, 1), mask=np.full(len(made), there == 0)))
+                    names = [given.field(c).take(pa.array(np.full(len(made), k))) for c in ("comparison", "metric")]
+                    yield pa.RecordBatch.from_arrays([*names, pa.array(made), *means], names=["comparison", "metric", "draw", "drawn", "flipped"])
+
+    kinds = dict(pairs.dtypes)
+    return rows.mapInArrow(run, f"comparison {kinds['comparison']}, metric {kinds['metric']}, draw long, drawn double, flipped double")
 
 
 def bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """comparison, metric, low, high: 95 % percentile interval of the mean delta, queries drawn anew draws times."""
-    n = pairs.groupBy("comparison", "metric").agg(F.count("*").alias("n"))
-    rows = _draws(pairs, draws, seed).join(n, ["comparison", "metric"])
-    chosen = rows.select("comparison", "metric", "draw", F.pmod(F.col("h"), F.col("n")).alias("j"))
-    held = rows.where("draw = 0").select("comparison", "metric", F.col("i").cast("long").alias("j"), "delta")
-    means = chosen.join(held, ["comparison", "metric", "j"]).groupBy("comparison", "metric", "draw").agg(F.avg("delta").alias("m"))
-    ends = means.groupBy("comparison", "metric").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    ends = _draws(pairs, draws, seed).groupBy("comparison", "metric").agg(F.percentile("drawn", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     return ends.select("comparison", "metric", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def permutation(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """comparison, metric, p: two-sided sign-flip test of the mean delta, with one added to both counts."""
     seen = pairs.groupBy("comparison", "metric").agg(F.abs(F.avg("delta")).alias("seen"))
-    flips = _draws(pairs, draws, seed).groupBy("comparison", "metric", "draw").agg(F.abs(F.avg(F.when(F.col("h") % 2 == 0, F.col("delta")).otherwise(-F.col("delta")))).alias("m"))
+    flips = _draws(pairs, draws, seed).withColumn("m", F.abs("flipped"))
     return flips.join(seen, ["comparison", "metric"]).groupBy("comparison", "metric").agg(((F.count_if(F.col("m") >= F.col("seen") - TOLERANCE) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def exact_tests(pairs: DataFrame, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """comparison, metric, low, high, p from numpy's own generator: the published intervals and p-values. A pair's deltas,
-    one number a query, go to one task."""
+    one number a query, go to one task, which draws for at most DRAWN numbers at once: the generator goes on where it was."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         d = pdf.sort_values("query_id")["delta"].to_numpy()
+        parts = [min(draws - at, step) for step in [max(1, DRAWN // max(1, len(d)))] for at in range(0, draws, step)]
         rng = np.random.default_rng(seed)
-        means = d[rng.integers(0, len(d), size=(draws, len(d)))].mean(axis=1)
+        means = np.concatenate([d[rng.integers(0, len(d), size=(n, len(d)))].mean(axis=1) for n in parts])
         low, high = np.percentile(means, [2.5, 97.5])
         rng = np.random.default_rng(seed)
-        signs = rng.choice(np.array([-1.0, 1.0]), size=(draws, len(d)))
-        p = (np.sum(np.abs((signs * d).mean(axis=1)) >= abs(d.mean())) + 1) / (draws + 1)
+        signs = np.array([-1.0, 1.0])
+        p = (sum(int(np.sum(np.abs((rng.choice(signs, size=(n, len(d))) * d).mean(axis=1)) >= abs(d.mean()))) for n in parts) + 1) / (draws + 1)
         return pd.DataFrame({"comparison": [pdf["comparison"].iloc[0]], "metric": [pdf["metric"].iloc[0]], "low": [low], "high": [high], "p": [p]})
 
     return pairs.groupBy("comparison", "metric").applyInPandas(run, "comparison string, metric string, low double, high double, p double")
