@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trovel.operators import metrics
 
@@ -25,3 +26,13 @@ def test_exact_tests_in_parts_draw_the_same(spark, monkeypatch):
     whole = tuple(metrics.exact_tests(pairs, draws=500).first())
     monkeypatch.setattr(metrics, "DRAWN", 1_000)
     assert tuple(metrics.exact_tests(pairs, draws=500).first()) == whole
+
+
+def test_small_results_are_kept_without_their_plans(spark):
+    from trovel.plans.model import Model
+
+    m = Model(spark, "nowhere")
+    first = m.once("a", lambda: spark.range(50).groupBy((F.col("id") % 5).alias("k")).agg(F.count("*").alias("n")))
+    second = m.once("b", lambda: first.join(first.withColumnRenamed("n", "m"), "k").groupBy("k").agg(F.sum("m").alias("m")))
+    assert "Aggregate" not in second._jdf.queryExecution().toString() and second.where("m = 10").count() == 5
+    assert m.once("b", None) is second

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovel.operators import graph, metrics, retrieval
+from trovel.sources.files import settled
 
 
 class Model:
@@ -21,11 +22,11 @@ class Model:
         self.spark, self.dir = spark, sf_dir
         self.made: dict[str, DataFrame] = {}
 
-    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A result of a few rows a query, which several others read: worked out once, kept where memory allows and else on
-        disk, and made again from its lineage if an executor goes."""
+    def once(self, name: str, make: Callable[[], DataFrame], small: bool = True) -> DataFrame:
+        """A result that several others read, worked out once: of a few rows a query, settled without its plan, since plans over
+        plans would fill the driver; else persisted where memory allows and else on disk."""
         if name not in self.made:
-            self.made[name] = make().persist(StorageLevel.MEMORY_AND_DISK)
+            self.made[name] = settled(make()) if small else make().persist(StorageLevel.MEMORY_AND_DISK)
         return self.made[name]
 
     def table(self, name: str) -> DataFrame:
@@ -44,6 +45,9 @@ class Model:
 
     def qrels(self) -> DataFrame:
         """No pair of a query and a document is made but those of the pools."""
+        return self.once("qrels", self._qrels)
+
+    def _qrels(self) -> DataFrame:
         docs, queries = self.table("documents").count(), self.queries().select("query_id", "q_label")
         drawn = queries.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(199)))).select("query_id", "q_label", F.pmod(F.col("query_id") * 13 + F.col("k") * 37, F.lit(docs)).alias("doc_id"))
         own = queries.where("query_id % 200 <> 0").join(self._chunks().select(F.col("vec_id").alias("query_id"), "doc_id"), "query_id").select("query_id", "q_label", "doc_id")
@@ -71,14 +75,14 @@ class Model:
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes, and edges kept on disk: each plan over them reads the texts once."""
         nodes, edges = graph.build(self.documents())
-        return nodes, self.once("edges", lambda: edges)
+        return nodes, self.once("edges", lambda: edges, small=False)
 
     def semantic(self) -> DataFrame:
         """Every document's place for every query: as many rows as queries times documents, so only semantic_full_rank asks for it."""
         return retrieval.semantic_ranking(self.scored())
 
     def document_vectors(self) -> DataFrame:
-        return self.once("document vectors", lambda: retrieval.document_vectors(self.vectors()))
+        return self.once("document vectors", lambda: retrieval.document_vectors(self.vectors()), small=False)
 
     def semantic_top(self) -> DataFrame:
         """The first places alone, as deep as a fusion needs."""
@@ -92,7 +96,7 @@ class Model:
 
     def _entity(self) -> DataFrame:
         carried = self.once("carried", lambda: retrieval.carried(self.semantic_top().where("rank <= 10"), self.graph()[1], self.table("documents").count()))
-        lists = self.once("entity lists", lambda: retrieval.entity_lists(self.graph()[1], carried))
+        lists = self.once("entity lists", lambda: retrieval.entity_lists(self.graph()[1], carried), small=False)
         return retrieval.entity(*retrieval.candidates(self.queries().select("query_id", "q"), self.document_vectors(), carried, lists, self.semantic_top()))
 
     def entity(self) -> DataFrame:

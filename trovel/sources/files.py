@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import tempfile
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,3 +142,15 @@ def write_two_row_header(df: DataFrame, path: str, split: str = "__") -> None:
 def table_text(df: DataFrame, most: int = 50) -> str:
     """The first rows as aligned text, for the console."""
     return df.limit(most).toPandas().to_string(index=False)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, worked out now and kept without the plan behind them, so that plans over it stay small: a reliable
+    checkpoint in spark.checkpoint.dir. A session on this machine alone, as in tests, gets a folder of its own; on a cluster that
+    names none the rows are persisted, with their plan."""
+    sc = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='trovel-')}")
+    return df.checkpoint(eager=True)
