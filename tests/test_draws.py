@@ -36,3 +36,14 @@ def test_small_results_are_kept_without_their_plans(spark):
     second = m.once("b", lambda: first.join(first.withColumnRenamed("n", "m"), "k").groupBy("k").agg(F.sum("m").alias("m")))
     assert "Aggregate" not in second._jdf.queryExecution().toString() and second.where("m = 10").count() == 5
     assert m.once("b", None) is second
+
+
+def test_nodes_and_edges_read_the_texts_once(spark, tmp_path):
+    from trovel.plans.model import Model
+
+    spark.createDataFrame([(7, "abcdefghijklmnop 123", "en", "web", 20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    nodes, edges = Model(spark, str(tmp_path)).graph()
+    assert edges.count() == 10 and nodes.count() == 9
+    for df in (nodes, edges):  # a plan over what is kept, not over the texts
+        assert "InMemoryTableScan" in (plan := df._jdf.queryExecution().executedPlan().toString()) and "FileScan" not in plan.split("InMemoryRelation")[0]

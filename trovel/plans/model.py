@@ -73,8 +73,8 @@ class Model:
         return found.select("doc_id", *[F.when(F.col("doc_id") % 97 != 5, F.col(c)).alias(c) for c in found.columns if c != "doc_id"])
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        """Nodes, and edges kept on disk: each plan over them reads the texts once."""
-        nodes, edges = graph.build(self.documents())
+        """Nodes, and edges kept on disk. Both come from one reading of the texts, whose words alone are kept."""
+        nodes, edges = graph.build(self.once("documents", self.documents, small=False))
         return nodes, self.once("edges", lambda: edges, small=False)
 
     def semantic(self) -> DataFrame:
